@@ -26,4 +26,4 @@ def register(key: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every query module (each registers on import)."""
-    from attrition.plans import q_prep, q_stats, q_eval, q_risk, q_model  # noqa: F401
+    from attrition.plans import q_prep, q_stats, q_eval, q_risk, q_model, q_io  # noqa: F401

@@ -153,7 +153,7 @@ PRED_SEED = "pred"
 
 
 def with_class_probabilities(df: DataFrame, label: str = "target", id_col: str = "id",
-                             levels_from: DataFrame | None = None) -> DataFrame:
+                             levels_from: DataFrame | None = None, seed=None) -> DataFrame:
     """Add pseudo-model output to each row: ``classes`` (sorted levels),
     ``probs`` (aligned probabilities) and ``predicted`` (first most likely
     class in level order).
@@ -163,7 +163,8 @@ def with_class_probabilities(df: DataFrame, label: str = "target", id_col: str =
     sum(raw).  The levels come from one bounded aggregation (``collect_set``
     of the labels of ``levels_from``, default ``df``) used as a scalar
     subquery; each row builds its vector with higher-order functions, so
-    there is no join and no shuffle."""
+    there is no join and no shuffle.  ``seed`` (a Column or string) varies
+    the class hash: md5(id:seed:c)."""
     src = levels_from if levels_from is not None else df
     levels = src.agg(F.sort_array(F.collect_set(F.col(label)))).scalar()
     idc = F.col(id_col)
@@ -171,7 +172,9 @@ def with_class_probabilities(df: DataFrame, label: str = "target", id_col: str =
 
     def raw(c):
         bonus = F.when((c == F.col(label)) & lucky, F.lit(8192)).otherwise(F.lit(0))
-        return (F.lit(1) + hex_digits_value(md5_key(idc, F.lit(":"), c), 1, 3) + bonus).cast("bigint")
+        h = (md5_key(idc, F.lit(":"), c) if seed is None
+             else md5_key(idc, F.lit(":"), seed, F.lit(":"), c))
+        return (F.lit(1) + hex_digits_value(h, 1, 3) + bonus).cast("bigint")
 
     d = df.withColumn("classes", levels).withColumn("_raw", F.transform("classes", raw))
     d = d.withColumn("_tot", F.aggregate("_raw", F.lit(0).cast("bigint"), lambda a, x: a + x))
