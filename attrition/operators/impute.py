@@ -76,9 +76,10 @@ def pmm_donor_match(scored: DataFrame, id_col: str, yhat: str, value: str, k: in
 
 
 def _materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder (reliable
-    checkpoint, survives executor loss)."""
-    return df.checkpoint(eager=True)
+    """Cut lineage through a table written to the shared checkpoint folder
+    (survives executor loss; see ``session.materialize``)."""
+    from attrition.session import materialize
+    return materialize(df, "impute")
 
 
 def impute_pmm(df: DataFrame, id_col: str, targets: Sequence[str], predictors: Sequence[str],
@@ -87,7 +88,7 @@ def impute_pmm(df: DataFrame, id_col: str, targets: Sequence[str], predictors: S
     using the complete ``predictors`` and the other targets' current
     fills.  Starts from the column mean; each iteration refits every
     target in turn and re-draws its missing cells; each iteration's state
-    is checkpointed to the shared checkpoint folder."""
+    is written to the shared checkpoint folder, cutting lineage."""
     targets = [t for t in targets]
     miss = {t: f"__miss_{t}" for t in targets}
     means = df.agg(*[F.avg(F.col(t).cast("double")).alias(t) for t in targets]).first()

@@ -32,12 +32,20 @@ def cardinality_guard(df: DataFrame, cols: Sequence[str], max_levels: int = MAX_
 
 def forest_importance(train: DataFrame, label: str, features: Sequence[str],
                       categorical: Sequence[str] = (), *, num_trees: int = 100, min_leaf: int = 50,
-                      max_depth: int = 6, seed: int = 123) -> DataFrame:
+                      max_depth: int = 6, seed: int = 123, class_weighted: bool = True) -> DataFrame:
     """L2: Gini importance per original column from a Spark random forest
     (100 trees, at least 50 rows per leaf; depth 6 bounds the leaves at 64
     where the reference caps them at 50).  Each categorical column is one
-    indexed slot, so every column gets one importance."""
+    indexed slot, so every column gets one importance.
+
+    Spark's tree learner merges sibling leaves that predict the same class;
+    with a dominant class and 50-row leaves every tree collapses to its
+    root and all importances are zero.  The forest therefore trains with
+    the model's class weights N / (K * n_c) by default."""
+    from attrition.operators.split import attach_weights, class_weights
     features = list(features)
+    if class_weighted:
+        train = attach_weights(train, class_weights(train, label), label, out="__w")
     cats = [f for f in features if f in set(categorical)]
     nums = [f for f in features if f not in set(categorical)]
     stages = [StringIndexer(inputCol=c, outputCol=f"__ix_{c}", stringOrderType="alphabetAsc",
@@ -51,8 +59,9 @@ def forest_importance(train: DataFrame, label: str, features: Sequence[str],
         max_bins = max(32, int(lv) + 1)
     stages.append(RandomForestClassifier(featuresCol="__features", labelCol="__label", numTrees=num_trees,
                                          minInstancesPerNode=min_leaf, maxDepth=max_depth, maxBins=max_bins,
-                                         seed=seed, impurity="gini"))
-    model = Pipeline(stages=stages).fit(train.select(label, *features))
+                                         seed=seed, impurity="gini",
+                                         **({"weightCol": "__w"} if class_weighted else {})))
+    model = Pipeline(stages=stages).fit(train.select(label, *features, *(["__w"] if class_weighted else [])))
     imp = model.stages[-1].featureImportances.toArray().tolist()
     names = cats + nums
     rows = [(n, float(v)) for n, v in zip(names, imp)]
@@ -67,10 +76,11 @@ def cumulative_select(importance: DataFrame, share: float = 0.95, score: str = "
     w = Window.orderBy(F.desc(score), F.asc(name))
     total = F.sum(score).over(Window.partitionBy())
     cum = F.sum(score).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # An all-zero score table has no shares (null); every feature is kept.
     d = importance.select(name, score, F.row_number().over(w).cast("bigint").alias("rank"),
-                          (cum / total).alias("cumulative_share"))
+                          F.when(total > 0, cum / total).alias("cumulative_share"))
     prev = F.lag("cumulative_share", 1, 0.0).over(Window.orderBy("rank"))
-    return d.withColumn("_prev", prev).filter(F.col("_prev") < share).drop("_prev")
+    return d.withColumn("_prev", prev).filter(F.coalesce(F.col("_prev") < share, F.lit(True))).drop("_prev")
 
 
 def top_importance(importance: DataFrame, n: int = 20, score: str = "importance",

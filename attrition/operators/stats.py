@@ -47,10 +47,13 @@ def category_bar(df: DataFrame, label: str = "target") -> DataFrame:
 def corr_matrix(df: DataFrame, cols: Sequence[str], digits: int = 8) -> DataFrame:
     """Pearson correlation of every ordered pair of columns on rows with
     no null in any of them (R ``use="complete.obs"``), long form, one
-    aggregation for all pairs.  Diagonal is exactly 1."""
+    aggregation for all pairs.  Diagonal is exactly 1; a constant column
+    gives null (R's NA) instead of a division by zero."""
     cols = list(cols)
     d = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(cols)]).dropna()
-    aggs = [F.corr(f"c{i}", f"c{j}").alias(f"r{i}_{j}")
+    sds = [F.stddev_samp(f"c{i}") for i in range(len(cols))]
+    aggs = [F.when((sds[i] > 0) & (sds[j] > 0),
+                   F.covar_samp(f"c{i}", f"c{j}") / (sds[i] * sds[j])).alias(f"r{i}_{j}")
             for i in range(len(cols)) for j in range(i + 1, len(cols))]
     wide = d.agg(*aggs) if aggs else d.agg(F.count(F.lit(1)).alias("_n"))
     entries = []

@@ -29,6 +29,7 @@ from attrition.operators.impute import impute_pmm
 from attrition.operators.outliers import winsor_bounds, winsorize
 from attrition.operators.risk import base_risk, score_new_cohort, score_risk
 from attrition.plans.base import ADDONS, LINES, PHONE, PROTECTION, SNAP_PAYMENT_RULE, STREAMING
+from attrition.session import materialize
 from attrition.sources.fixtures import snap
 
 IMPUTE_TARGETS = ("population", "n_lines", "qty", "disc")
@@ -78,13 +79,13 @@ def training_flow(spark: SparkSession, sf_dir: str, cfg: MD.ModelConfig = LIGHT)
     lab = L.labeled(snap(spark, sf_dir))
     model_rows = L.cohort_model(lab)
     prepared, bounds = prepare(model_rows)
-    prepared = C.drop_single_level(prepared).checkpoint(eager=True)
-    split = S.stratified_split(prepared).checkpoint(eager=True)
+    prepared = materialize(C.drop_single_level(prepared), "prepared")
+    split = materialize(S.stratified_split(prepared), "split")
     train, test = split.filter("is_train").drop("is_train"), split.filter("NOT is_train").drop("is_train")
     classes = sorted(r[0] for r in train.select("target").distinct().collect())
     candidates = [c for c in train.columns if c not in EXCLUDE]
     results, cv_preds = MD.alpha_grid(train, "target", candidates, classes, cfg)
-    results, cv_preds = results.checkpoint(eager=True), cv_preds.checkpoint(eager=True)
+    results, cv_preds = materialize(results, "cv-results"), materialize(cv_preds, "cv-preds")
     best = MD.best_alpha(MD.alpha_summary(results)).first()["alpha"]
     selected, _ = MD.select_features(train, "target", candidates, cfg)
     fitted = MD.fit_final(train, "target", selected, classes, best, cfg)

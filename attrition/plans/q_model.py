@@ -203,8 +203,9 @@ def _profile(spark, d):
 def _profile_sql() -> str:
     o = ", ".join(f"avg(CAST({c} AS DOUBLE)) AS o_{c}, stddev_samp(CAST({c} AS DOUBLE)) AS s_{c}" for c in PROFILE_COLS)
     parts = " UNION ALL ".join(
-        f"SELECT target AS class, '{c}' AS feature, round((avg(CAST({c} AS DOUBLE)) - any_value(o_{c})) / any_value(s_{c}), 3) "
-        f"+ 0.0::DOUBLE AS coefficient FROM mdl, ov GROUP BY target" for c in PROFILE_COLS)
+        f"SELECT target AS class, '{c}' AS feature, CASE WHEN any_value(s_{c}) > 0 THEN "
+        f"round((avg(CAST({c} AS DOUBLE)) - any_value(o_{c})) / any_value(s_{c}), 3) + 0.0::DOUBLE END "
+        f"AS coefficient FROM mdl, ov GROUP BY target" for c in PROFILE_COLS)
     return LAB_SQL + f",\nov AS (SELECT {o} FROM mdl),\ncoefs AS ({parts})"
 
 

@@ -73,7 +73,8 @@ def _corr_sql() -> str:
             if a == b:
                 parts.append(f"SELECT '{a}' AS var1, '{b}' AS var2, 1.0::DOUBLE AS r")
             else:
-                v = f"round(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 8)"
+                v = (f"CASE WHEN stddev_samp(CAST({a} AS DOUBLE)) > 0 AND stddev_samp(CAST({b} AS DOUBLE)) > 0 "
+                     f"THEN round(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 8) END")
                 parts.append(f"SELECT '{a}' AS var1, '{b}' AS var2, {v} AS r FROM mdl WHERE {cc}")
     return " UNION ALL ".join(parts)
 

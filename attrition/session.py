@@ -71,3 +71,16 @@ def env_int(name: str, default: int) -> int:
         return int(os.environ.get(name, default))
     except ValueError:
         return default
+
+
+def materialize(df, name: str = "stage"):
+    """Cut lineage by writing ``df`` as parquet under the shared checkpoint
+    folder and reading it back.  Like a reliable checkpoint it survives
+    executor loss; unlike ``Dataset.checkpoint`` the new plan's size
+    statistics come from the written files, so iterated steps do not
+    compound join-size estimates (Catalyst multiplies child sizes for
+    joins, which grows without bound across chained checkpoints)."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

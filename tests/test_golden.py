@@ -33,14 +33,14 @@ def _pred_rows():
     pred_left = {c: p - t for c, a, p, t in MARGINALS}
     for c, a, p, t in MARGINALS:
         rows += [(c, c)] * t
-    for pc in pred_left:            # greedy off-diagonal fill
-        for ac in act_left:
-            if pc == ac:
-                continue
-            n = min(pred_left[pc], act_left[ac])
-            rows += [(ac, pc)] * n
-            pred_left[pc] -= n
-            act_left[ac] -= n
+    # off-diagonal fill one unit at a time: largest remaining predicted row
+    # into the largest remaining other actual column (always feasible here)
+    while sum(pred_left.values()):
+        pc = max(pred_left, key=lambda c: (pred_left[c], c))
+        ac = max((c for c in act_left if c != pc), key=lambda c: (act_left[c], c))
+        rows.append((ac, pc))
+        pred_left[pc] -= 1
+        act_left[ac] -= 1
     assert sum(pred_left.values()) == 0 and sum(act_left.values()) == 0
     return rows
 

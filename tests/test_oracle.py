@@ -10,7 +10,9 @@ sys.path.insert(0, os.path.join(os.path.dirname(__file__), "..", "scripts"))
 
 from conftest import SF0001  # noqa: E402
 
-FAST = ["multi_state_label", "drop_sparse_columns", "drop_single_level", "missing_summary", "missing_pattern",
+# drop_sparse_columns is checked at sf0.01 only: its oracle lists the dropped
+# columns, and at sf0.001 more columns cross the 50 % null line.
+FAST = ["multi_state_label", "drop_single_level", "missing_summary", "missing_pattern",
         "winsorize", "winsor_summary", "derive_features", "value_segment", "class_distribution", "box_stats",
         "corr_matrix", "stratified_split", "stratified_folds", "weight_lookup", "confusion_long",
         "per_class_metrics", "auc_ovr", "roc_points", "auc_binary", "log_loss", "evaluation_summary",
