@@ -30,28 +30,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attrition.functions.exprs import hex_digits_value, md5_key
-from attrition.operators.ordering import bucketed_running
-
-
-def _quantile_bucket(df: DataFrame, col: str, n: int = 256, accuracy: int = 10000) -> F.Column:
-    """Bucket index of ``col`` against approximate quantile cut points
-    (``n - 1`` numbers, collected: bounded by ``n``); monotone in ``col``."""
-    probs = [i / n for i in range(1, n)]
-    cuts = df.agg(F.percentile_approx(col, probs, accuracy)).first()[0] or []
-    arr = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
-    return F.size(F.filter(arr, lambda b: b <= F.col(col)))
+from attrition.operators.ordering import bucketed_running, with_quantile_bucket
 
 
 def pmm_donor_match(scored: DataFrame, id_col: str, yhat: str, value: str, k: int = 5,
-                    seed: str = "123", buckets: int = 256) -> DataFrame:
+                    seed: str = "123", buckets: int = 1024) -> DataFrame:
     """M5: ``(id, imputed)`` for rows with null ``value``: the observed value
     of one of the k donors nearest in ``yhat`` (ties by donor id), chosen
     by ``md5(id:seed)``.  ``scored`` has id, yhat and value (null = recipient)."""
     d = scored.select(F.col(id_col).alias("_id"), F.col(yhat).alias("_y"), F.col(value).alias("_v"))
     d = d.withColumn("_donor", F.col("_v").isNotNull().cast("int"))
     # Donors before recipients on equal y^, then id: a total order.
-    d = bucketed_running(d, [], _quantile_bucket(d, "_y", buckets), ["_y", F.desc("_donor"), "_id"],
-                         sums={"_dcum": F.col("_donor")})
+    d = with_quantile_bucket(d, "_y", "_yb", buckets)
+    d = bucketed_running(d, [], F.col("_yb"), ["_y", F.desc("_donor"), "_id"],
+                         sums={"_dcum": F.col("_donor")}).drop("_yb")
     d = d.withColumn("_dcum", F.coalesce("_dcum", F.lit(0)).cast("bigint")).persist()
     try:
         donors = (d.filter("_donor = 1")

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from attrition.operators.ordering import bucketed_running, unit_interval_bucket
+from attrition.operators.ordering import bucketed_running, with_quantile_bucket
 
 Z95 = 1.959963984540054
 LOG_EPS = 1e-15
@@ -123,9 +123,12 @@ def macro_metrics(per_class: DataFrame) -> DataFrame:
 def _auc_from_counts(counts: DataFrame, keys: Sequence[str], score: str, buckets: int) -> DataFrame:
     """AUC per key from ``(keys, score, pos, neg)`` rows: the exact
     Mann-Whitney form with average ties, sum(pos * (2*neg_below + neg)) /
-    (2 P N), all in integers until the final division."""
-    run = bucketed_running(counts, keys, unit_interval_bucket(F.col(score), buckets), [score],
-                           sums={"_neg_cum": F.col("neg")})
+    (2 P N), all in integers until the final division.  Prefix sums run in
+    (key, score-quantile bucket) partitions, so they stay balanced however
+    the scores bunch up."""
+    counts = with_quantile_bucket(counts, score, "_sb", buckets)
+    run = bucketed_running(counts, keys, F.col("_sb"), [score],
+                           sums={"_neg_cum": F.col("neg")}).drop("_sb")
     term = F.col("pos") * (F.lit(2) * (F.col("_neg_cum") - F.col("neg")) + F.col("neg"))
     agg = run.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"),
                                  F.sum(term).alias("_s2"))
@@ -155,7 +158,8 @@ def roc_points(probs: DataFrame, buckets: int = 1024) -> DataFrame:
     is_pos = (F.col("actual") == F.col("class")).cast("bigint")
     counts = (probs.groupBy("class", "prob")
               .agg(F.sum(is_pos).alias("pos"), F.sum(F.lit(1) - is_pos).alias("neg")))
-    run = bucketed_running(counts, ["class"], -unit_interval_bucket(F.col("prob"), buckets),
+    counts = with_quantile_bucket(counts, "prob", "_sb", buckets)
+    run = bucketed_running(counts, ["class"], -F.col("_sb"),
                            [F.desc("prob")], sums={"tp": F.col("pos"), "fp": F.col("neg")})
     tot = Window.partitionBy("class")
     return run.select("class", F.col("prob").alias("threshold"),

@@ -59,17 +59,18 @@ def lambda_max(vec: DataFrame, alpha: float, label: str = "label", weight: str =
     intercept-only fit divided by alpha (floored at 1e-3 for ridge), from
     ONE grouped aggregation (K rows of p-vectors reach the driver)."""
     rows = (vec.groupBy(label)
-            .agg(Summarizer.metrics("mean", "weightSum").summary(F.col(features), F.col(weight)).alias("s"))
-            .select(label, "s.mean", "s.weightSum").collect())
-    total_w = sum(r["weightSum"] for r in rows)
-    p = len(rows[0]["mean"]) if rows else 0
-    sums = {r[label]: [m * r["weightSum"] for m in r["mean"].toArray()] for r in rows}
+            .agg(Summarizer.metrics("sum").summary(F.col(features), F.col(weight)).alias("s"),
+                 F.sum(weight).alias("w"))
+            .select(label, F.col("s.sum").alias("sum"), "w").collect())
+    total_w = sum(r["w"] for r in rows)
+    p = len(rows[0]["sum"]) if rows else 0
+    sums = {r[label]: r["sum"].toArray().tolist() for r in rows}   # weighted sums per class
     tot = [sum(s[j] for s in sums.values()) for j in range(p)]
     g = 0.0
-    for k, r in ((r[label], r) for r in rows):
-        pk = r["weightSum"] / total_w
+    for r in rows:
+        pk = r["w"] / total_w
         for j in range(p):
-            g = max(g, abs((sums[k][j] - pk * tot[j]) / total_w))
+            g = max(g, abs((sums[r[label]][j] - pk * tot[j]) / total_w))
     return g / max(alpha, 1e-3)
 
 

@@ -60,6 +60,8 @@ def bucketed_running(df: DataFrame, keys: Sequence[str], bucket: Column,
             local = local.withColumn(f"__ord_ln_{n}", F.lead(f"__ord_n_{n}").over(w))
 
     # One row per (key, bucket): counts, sums, first value of each `next`.
+    # Aggregated from the input (not the windowed rows) so that map-side
+    # partial aggregation shrinks the shuffle to one row per bucket and task.
     aggs = [F.count(F.lit(1)).alias("__ord_t_cnt")]
     aggs += [F.sum(f"__ord_v_{n}").alias(f"__ord_t_{n}") for n in sums]
     first_key = F.struct(*order_cols)
@@ -103,3 +105,20 @@ def hash_prefix_bucket(hash_hex: Column, digits: int = 3) -> Column:
 def unit_interval_bucket(score: Column, n: int = 1024) -> Column:
     """Bucket for orders by a score in [0, 1] (equal-width bins)."""
     return F.least(F.greatest(F.floor(score * F.lit(n)), F.lit(0)), F.lit(n)).cast("int")
+
+
+def with_quantile_bucket(df: DataFrame, col: str, out: str, n: int = 1024,
+                         accuracy: int = 10000) -> DataFrame:
+    """Add ``out``: the index of ``col`` among ``n - 1`` approximate
+    quantile cut points (equal-count buckets, monotone in ``col``).  The cut
+    points are one sketch aggregation (n numbers, collected); the lookup
+    is ``Bucketizer``'s binary search on the JVM, so n can be large."""
+    from pyspark.ml.feature import Bucketizer
+    probs = [i / n for i in range(1, n)]
+    cuts = df.agg(F.percentile_approx(col, probs, accuracy)).first()[0] or []
+    splits = [float("-inf"), *sorted({float(c) for c in cuts}), float("inf")]
+    if len(splits) < 3:
+        return df.withColumn(out, F.lit(0).cast("int"))
+    tmp = f"__qb_{out}"
+    b = Bucketizer(splits=splits, inputCol=col, outputCol=tmp, handleInvalid="keep")
+    return b.transform(df.withColumn(col, F.col(col).cast("double"))).withColumn(out, F.col(tmp).cast("int")).drop(tmp)

@@ -20,9 +20,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attrition.operators.ordering import bucketed_running
+
 
 def _long(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
     pairs = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols)
@@ -68,8 +70,15 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                   .alias("inside")))
     cand = (j.filter((F.col("x") >= F.col("lo_b")) & (F.col("x") <= F.col("hi_b")))
             .groupBy(*by, "variable", "prob", "x").agg(F.count(F.lit(1)).alias("c")))
-    w = Window.partitionBy(*by, "variable", "prob").orderBy("x")
-    cand = cand.withColumn("cum_in", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    # Running count over the candidate values, split into equal-width
+    # sub-ranges of the bracket so a wide bracket is not one window task.
+    span = F.col("hi_b") - F.col("lo_b")
+    sub = F.when(span > 0, F.least(F.floor((F.col("x") - F.col("lo_b")) / span * F.lit(1024)), F.lit(1023))) \
+        .otherwise(F.lit(0)).cast("int")
+    cand = (cand.join(stats.select(*by, "variable", "prob", "lo_b", "hi_b"), [*by, "variable", "prob"])
+            .withColumn("_sub", sub))
+    cand = bucketed_running(cand, [*by, "variable", "prob"], F.col("_sub"), ["x"],
+                            sums={"cum_in": F.col("c")}).drop("_sub", "lo_b", "hi_b")
     cand = cand.join(below, [*by, "variable", "prob"]).join(
         stats.select(*by, "variable", "prob", "pos", "r_lo", "r_hi"), [*by, "variable", "prob"])
     cum = F.col("below") + F.col("cum_in")  # rows <= x
@@ -81,12 +90,14 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                    F.first("r_hi").alias("r_hi")))
     ok = (F.col("below") <= F.col("r_lo")) & (F.col("below") + F.col("inside") > F.col("r_hi"))
     frac = F.col("pos") - F.col("r_lo").cast("double")
-    good = (picked.filter(ok)
-            .select(*by, "variable", "prob",
-                    (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * frac).alias("value")))
-
-    # Exact fallback, only for groups whose bracket missed (normally none).
-    missed = picked.filter(~ok).select(*by, "variable", "prob")
+    # picked has one row per (group, variable, prob): compute it once.
+    picked = _small(picked.withColumn("_ok", ok).withColumn(
+        "value", F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * frac))
+    good = picked.filter("_ok").select(*by, "variable", "prob", "value")
+    missed = picked.filter(~F.col("_ok")).select(*by, "variable", "prob")
+    if missed.isEmpty():
+        return good
+    # Exact fallback, only for groups whose bracket missed (not expected).
     exact = (long.join(missed.select(*by, "variable").distinct(), [*by, "variable"], "left_semi")
              .groupBy(*by, "variable")
              .agg(F.percentile("x", F.array(*[F.lit(p) for p in probs])).alias("qs"))
@@ -97,6 +108,15 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     return good.unionByName(fb)
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """Keep the statistics table (one row per group x variable x prob)
+    persisted, so the result and the fallback check do not recompute the
+    quantile jobs; recomputed from lineage if an executor is lost."""
+    df = df.persist()
+    df.count()
+    return df
+
+
 def quantile_row(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                  accuracy: int = 20000) -> dict[tuple[str, float], float]:
     """``{(column, prob): value}``; metadata-sized (cols x probs), collected."""

@@ -27,7 +27,7 @@ from attrition.plans.registry import register
 from attrition.sources.fixtures import with_class_probabilities
 from attrition.sources.sinks import sink_model
 from attrition.sources.tables import table
-from attrition.session import scratch_path
+from attrition.session import materialize, scratch_path
 
 DESIGN_FEATURES = ("contract_tenure_risk", "tenure", "contract", "age_group")
 
@@ -219,12 +219,14 @@ def q_coef_profile(spark, d):
     return _profile(spark, d)
 
 
-@register("odds_ratio", with_sql(PROFILE_SQL, """SELECT *, exp(coefficient) AS odds_ratio,
+@register("odds_ratio", with_sql(PROFILE_SQL, """SELECT *, round(exp(coefficient), 12) AS odds_ratio,
   CASE WHEN coefficient > 0 THEN 'increases' ELSE 'decreases' END AS direction,
-  abs((exp(coefficient) - 1.0) * 100.0) AS pct_change FROM coefs"""))
+  round(abs((exp(coefficient) - 1.0) * 100.0), 10) AS pct_change FROM coefs"""))
 def q_odds_ratio(spark, d):
-    """F11"""
-    return IN.odds_ratios(_profile(spark, d))
+    """F11 (odds ratio to 12 dp, percent change to 10 dp: exp differs in
+    the last bit between engines)."""
+    o = IN.odds_ratios(_profile(spark, d))
+    return o.withColumn("odds_ratio", F.round("odds_ratio", 12)).withColumn("pct_change", F.round("pct_change", 10))
 
 
 TOPK = 3  # this table has 8 features per class; the reference uses 15 of 39
@@ -359,7 +361,7 @@ SELECT alpha, round(mean_cv_accuracy, 12) AS mean_cv_accuracy, round(mean_cv_f1,
   rank_acc_all = 1 AS best_by_accuracy, alpha = (SELECT alpha FROM t2 WHERE rank_by_f1 = 1) AS best_by_f1 FROM t2"""))
 def q_top3_validation(spark, d):
     """F1 cross-check of the three best alphas from stored predictions."""
-    preds = _cv_preds(spark, d)
+    preds = materialize(_cv_preds(spark, d), "cv-pseudo-preds")
     t = MD.top3_validation(MD.alpha_summary(_cv_results(preds)), preds)
     return _r(t, {"mean_cv_accuracy", "mean_cv_f1", "f1_sd"})
 
