@@ -91,7 +91,7 @@ def elastic_net(alpha: float, lam: float, max_iter: int = 100) -> LogisticRegres
 def lambda_search(vec: DataFrame, alpha: float, cfg: ModelConfig) -> tuple[float, list[tuple[float, float]]]:
     """Inner cross-validation of lambda by weighted accuracy; ties go
     to the largest lambda (the grid is in decreasing order and the first
-    maximum wins).  Returns (best lambda, [(lambda, mean accuracy)])."""
+    maximum wins).  Returns (best lambda, [(lambda, mean accuracy, sd)])."""
     lams = lambda_grid(lambda_max(vec, alpha), cfg.n_lambdas, cfg.lambda_ratio)
     lr = elastic_net(alpha, lams[0], cfg.max_iter)
     grid = ParamGridBuilder().addGrid(lr.regParam, lams).build()
@@ -99,7 +99,8 @@ def lambda_search(vec: DataFrame, alpha: float, cfg: ModelConfig) -> tuple[float
     cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=ev, numFolds=cfg.inner_folds,
                         seed=cfg.seed, parallelism=cfg.parallelism)
     m = cv.fit(vec)
-    path = [(pm[lr.regParam], float(a)) for pm, a in zip(grid, m.avgMetrics)]
+    sds = list(m.stdMetrics) if getattr(m, "stdMetrics", None) else [float("nan")] * len(grid)
+    path = [(pm[lr.regParam], float(a), float(sd)) for pm, a, sd in zip(grid, m.avgMetrics, sds)]
     best = max(range(len(path)), key=lambda i: (path[i][1], -i))
     return path[best][0], path
 
@@ -257,16 +258,17 @@ def cv_curve(summary: DataFrame) -> DataFrame:
 
 
 def lambda_curve(path: DataFrame, n_folds: int) -> DataFrame:
-    """Misclassification by lambda with the minimum and the one-
-    standard-error choice (largest lambda within min + se).  ``path`` has
-    ``(lambda, fold, error)`` rows."""
-    g = path.groupBy("lambda").agg(F.avg("error").alias("cv_error"),
-                                   (F.stddev_samp("error") / F.lit(math.sqrt(n_folds))).alias("cv_se"))
+    """Misclassification by lambda (1 - mean CV accuracy) with its
+    standard error, the minimum and the one-standard-error choice (largest
+    lambda whose error is within min + se).  ``path`` has ``(lambda,
+    cv_accuracy, cv_sd)`` rows, one per lambda (a small table)."""
     w = Window.partitionBy()
+    g = path.select("lambda", (F.lit(1.0) - F.col("cv_accuracy")).alias("cv_error"),
+                    (F.col("cv_sd") / F.lit(math.sqrt(n_folds))).alias("cv_se"))
     mn = F.min("cv_error").over(w)
-    se_at_min = F.first(F.when(F.col("cv_error") == mn, F.col("cv_se")), ignorenulls=True).over(
-        w.orderBy(F.desc("lambda")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    g = g.withColumn("_min", mn).withColumn("_se", se_at_min)
+    g = g.withColumn("_min", mn)
+    se_at_min = F.max(F.when(F.col("cv_error") == F.col("_min"), F.col("cv_se"))).over(w)
+    g = g.withColumn("_se", se_at_min)
     lam_min = F.max(F.when(F.col("cv_error") == F.col("_min"), F.col("lambda"))).over(w)
     lam_1se = F.max(F.when(F.col("cv_error") <= F.col("_min") + F.coalesce(F.col("_se"), F.lit(0.0)),
                            F.col("lambda"))).over(w)

@@ -130,11 +130,11 @@ scored AS (
     contract_multiplier, payment_multiplier, composite_risk_score, {RISK_CUT_SQL} AS risk_category
   FROM scomp)"""
 
-NEWPROBS_SQL = LAB_SQL + "," + class_probabilities_sql("newc", levels_from="mdl")
+NEWPROBS_SQL = LAB_SQL + "," + class_probabilities_sql("newc", levels_from="mdl", prefix="n_")
 
 SCORED_NEW_SQL = NEWPROBS_SQL + f""",
 nbase AS (
-  SELECT n.id, 1.0 - (SELECT prob FROM probs q WHERE q.id = n.id AND q.class = 'No Churn') AS base_risk,
+  SELECT n.id, 1.0 - (SELECT prob FROM n_probs q WHERE q.id = n.id AND q.class = 'No Churn') AS base_risk,
     n.tenure, n.charge, {RELABEL_SQL} AS contract, n.payment
   FROM newc n),
 ncomp AS ({_score_sql("nbase", "1.5")}),
@@ -146,3 +146,6 @@ scored_new AS (
 
 def with_sql(prefix: str, body: str) -> str:
     return "WITH " + prefix + "\n" + body
+
+# Both cohorts' score frames in one statement (shared label CTEs).
+BOTH_SCORED_SQL = SCORED_SQL + SCORED_NEW_SQL[len(LAB_SQL):]

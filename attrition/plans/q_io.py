@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from attrition.operators import metrics as M
 from attrition.operators import reshape as RS
 from attrition.operators import risk as R
-from attrition.plans.base import (LAB_SQL, SCORED_NEW_SQL, SCORED_SQL, preds_df, scored_df, scored_new_df,
+from attrition.plans.base import (BOTH_SCORED_SQL, LAB_SQL, SCORED_NEW_SQL, SCORED_SQL, preds_df, scored_df, scored_new_df,
                                   snap_df, with_sql)
 from attrition.plans.q_eval import CONF_SQL
 from attrition.plans.registry import register
@@ -28,6 +28,15 @@ def q_scan_csv(spark, d):
     return scan_csv(spark, path, schema=s.schema)
 
 
+@register("sink_csv", with_sql(SCORED_SQL, "SELECT * FROM scored"))
+def q_sink_csv(spark, d):
+    """The test score frame written as CSV part-files under the shared
+    checkpoint folder (never one file through one task), read back."""
+    s = scored_df(spark, d)
+    path = sink_csv(s, scratch_path(spark, "scores-csv"))
+    return scan_csv(spark, path, schema=s.schema)
+
+
 @register("profile_shape", with_sql(SNAP_SQL, f"""SELECT count(*) AS n_rows, {len(SNAP_COLUMNS)} AS n_cols,
   '{", ".join(SNAP_COLUMNS[:10])}' AS first_columns FROM snap"""))
 def q_profile_shape(spark, d):
@@ -37,7 +46,15 @@ def q_profile_shape(spark, d):
         "n_rows", F.lit(len(s.columns)).alias("n_cols"), F.lit(", ".join(s.columns[:10])).alias("first_columns"))
 
 
-@register("union_by_name")
+def _union_sql() -> str:
+    from attrition.plans.q_risk import _risk_summary_sql
+    a = _risk_summary_sql("scored")
+    b = _risk_summary_sql("scored_new", False)
+    return (f"SELECT *, 'modelling' AS cohort FROM ({a}) UNION ALL BY NAME "
+            f"SELECT *, 'recently joined' AS cohort FROM ({b})")
+
+
+@register("union_by_name", with_sql(BOTH_SCORED_SQL, _union_sql()))
 def q_union_by_name(spark, d):
     """The two cohorts' risk summaries in one table (the new cohort has
     no tenure column, so it is null there)."""

@@ -245,6 +245,14 @@ def q_max_abs(spark, d):
     return IN.max_abs_by_feature(_profile(spark, d))
 
 
+@register("topk_global", with_sql(PROFILE_SQL, """SELECT * FROM coefs ORDER BY abs(coefficient) DESC, class, feature LIMIT 10"""))
+def q_topk_global(spark, d):
+    """The ten largest |coefficient| cells overall (top-k report;
+    Spark plans it as TakeOrderedAndProject, no full sort)."""
+    from attrition.operators.reshape import topk_global
+    return topk_global(_profile(spark, d), 10, [F.desc(F.abs(F.col("coefficient"))), "class", "feature"])
+
+
 @register("top_features", with_sql(PROFILE_SQL, """SELECT feature, max(abs(coefficient)) AS max_abs_coef FROM coefs
   GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5"""))
 def q_top_features(spark, d):
@@ -415,8 +423,21 @@ def q_alpha_grid(spark, d):
 def q_lambda_search(spark, d):
     """Inner-CV accuracy along the lambda path of the final model."""
     t = flows.training_flow(spark, d)
-    return spark.createDataFrame([(float(l), float(a)) for l, a in t.fitted.lambda_path],
-                                 "lambda double, cv_accuracy double")
+    return spark.createDataFrame([(float(l), float(a), float(sd)) for l, a, sd in t.fitted.lambda_path],
+                                 "lambda double, cv_accuracy double, cv_sd double")
+
+
+@register("lambda_curve")
+def q_lambda_curve(spark, d):
+    """Error by lambda with lambda.min and lambda.1se of the final model."""
+    return MD.lambda_curve(q_lambda_search(spark, d), flows.LIGHT.inner_folds)
+
+
+@register("coef_long")
+def q_coef_long(spark, d):
+    """U4: class x design-column coefficients of the final model, zeros and
+    intercepts removed."""
+    return MD.coef_long(flows.training_flow(spark, d).fitted)
 
 
 @register("elastic_net_fit")

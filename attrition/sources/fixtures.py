@@ -193,25 +193,27 @@ def class_probabilities(df: DataFrame, label: str = "target", id_col: str = "id"
             .select("id", "actual", F.col("_p.classes").alias("class"), F.col("_p.probs").alias("prob")))
 
 
-def class_probabilities_sql(labeled: str, label: str = "target", levels_from: str | None = None) -> str:
+def class_probabilities_sql(labeled: str, label: str = "target", levels_from: str | None = None,
+                            prefix: str = "") -> str:
     """SQL twin of :func:`class_probabilities` as CTEs ``lv``/``pp``/``probs``
-    and ``preds`` (id, actual, predicted)."""
+    and ``preds`` (id, actual, predicted), names optionally prefixed."""
     levels_from = levels_from or labeled
+    lv, pp, probs, preds = (f"{prefix}{n}" for n in ("lv", "pp", "probs", "preds"))
     hexv = ("(instr('0123456789abcdef', substr({h}, 1, 1)) - 1) * 256 + "
             "(instr('0123456789abcdef', substr({h}, 2, 1)) - 1) * 16 + "
             "(instr('0123456789abcdef', substr({h}, 3, 1)) - 1)")
-    h_class = "md5(CAST(b.id AS VARCHAR) || ':' || lv.class)"
+    h_class = f"md5(CAST(b.id AS VARCHAR) || ':' || {lv}.class)"
     h_m = "md5(CAST(b.id AS VARCHAR) || ':m')"
     return f"""
-lv AS (SELECT DISTINCT {label} AS class FROM {levels_from}),
-pp AS (
-  SELECT b.id, b.{label} AS actual, lv.class,
+{lv} AS (SELECT DISTINCT {label} AS class FROM {levels_from}),
+{pp} AS (
+  SELECT b.id, b.{label} AS actual, {lv}.class,
     CAST(1 + {hexv.format(h=h_class)}
-      + CASE WHEN lv.class = b.{label} AND instr('0123456789abcdef', substr({h_m}, 1, 1)) - 1 < 10
+      + CASE WHEN {lv}.class = b.{label} AND instr('0123456789abcdef', substr({h_m}, 1, 1)) - 1 < 10
              THEN 8192 ELSE 0 END AS BIGINT) AS raw
-  FROM {labeled} b CROSS JOIN lv),
-probs AS (
-  SELECT id, actual, class, raw / sum(raw) OVER (PARTITION BY id) AS prob FROM pp),
-preds AS (
+  FROM {labeled} b CROSS JOIN {lv}),
+{probs} AS (
+  SELECT id, actual, class, raw / sum(raw) OVER (PARTITION BY id) AS prob FROM {pp}),
+{preds} AS (
   SELECT id, actual, class AS predicted FROM (
-    SELECT *, row_number() OVER (PARTITION BY id ORDER BY prob DESC, class) AS rk FROM probs) WHERE rk = 1)"""
+    SELECT *, row_number() OVER (PARTITION BY id ORDER BY prob DESC, class) AS rk FROM {probs}) WHERE rk = 1)"""
