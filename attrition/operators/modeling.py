@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 
 from attrition.operators import split as S
 from attrition.operators.encode import Design, assemble, fit_design
-from attrition.operators.metrics import confusion_long, per_class_metrics
 from attrition.operators.selection import cardinality_guard, cumulative_select, forest_importance
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from attrition.operators import metrics as M
 from attrition.operators import reshape as RS
 from attrition.operators import risk as R
-from attrition.plans.base import (BOTH_SCORED_SQL, LAB_SQL, SCORED_NEW_SQL, SCORED_SQL, preds_df, scored_df, scored_new_df,
+from attrition.plans.base import (BOTH_SCORED_SQL, SCORED_SQL, preds_df, scored_df, scored_new_df,
                                   snap_df, with_sql)
 from attrition.plans.q_eval import CONF_SQL
 from attrition.plans.registry import register

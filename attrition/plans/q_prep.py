@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from attrition.operators import cleaning as C
 from attrition.operators import features as FE
 from attrition.operators import labels as L
-from attrition.operators.outliers import winsor_bounds, winsor_summary, winsorize
+from attrition.operators.outliers import winsor_summary, winsorize
 from attrition.operators.quantiles import quantile_row
-from attrition.plans.base import (ADDONS, LAB_SQL, NUMERIC, PHONE, LINES, PROTECTION, RELABEL_SQL,
+from attrition.plans.base import (ADDONS, LAB_SQL, PHONE, LINES, PROTECTION, RELABEL_SQL,
                                   STREAMING, labeled_df, modeling_df, new_cohort_df, snap_df, with_sql)
 from attrition.plans.registry import register
 from attrition.sources.fixtures import SNAP_COLUMNS, SNAP_SQL

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from attrition.operators import split as S
 from attrition.operators import stats as ST
 from attrition.operators.outliers import box_stats
-from attrition.plans.base import (LAB_SQL, LINES, NUMERIC, PHONE, SCORED_SQL, labeled_df, modeling_df,
+from attrition.plans.base import (LAB_SQL, LINES, PHONE, SCORED_SQL, labeled_df, modeling_df,
                                   new_cohort_df, scored_df, snap_df, with_sql)
 from attrition.plans.registry import register
 from attrition.sources.fixtures import SNAP_SQL

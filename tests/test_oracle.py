@@ -18,7 +18,8 @@ FAST = ["multi_state_label", "drop_single_level", "missing_summary", "missing_pa
         "per_class_metrics", "auc_ovr", "roc_points", "auc_binary", "log_loss", "evaluation_summary",
         "risk_summary", "revenue_at_risk", "segment_risk", "action_join", "new_cohort_risk", "one_hot_design",
         "align_columns", "cumulative_select", "topk_per_class", "feature_frequency", "top3_validation",
-        "pmm_donor_match", "scan_csv", "long_to_wide", "enrich_left"]
+        "pmm_donor_match", "scan_csv", "long_to_wide", "enrich_left", "union_by_name", "sink_csv",
+        "topk_global", "odds_ratio", "standardize"]
 
 
 @pytest.fixture(scope="module")

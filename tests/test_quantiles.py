@@ -1,7 +1,6 @@
 """Exact quantiles equal numpy's linear (type 7) quantiles."""
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from attrition.operators.quantiles import quantiles
 
