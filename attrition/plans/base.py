@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from attrition.operators.cleaning import relabel_contract
 from attrition.operators.labels import cohort_model, cohort_new, labeled
 from attrition.operators.risk import base_risk, score_new_cohort, score_risk
+from attrition.session import materialize
 from attrition.sources.fixtures import (SERVICE_COLS, SNAP_SQL, class_probabilities,
                                         class_probabilities_sql, snap, with_class_probabilities)
 
@@ -44,20 +45,36 @@ def new_cohort_df(spark: SparkSession, d: str) -> DataFrame:
     return cohort_new(labeled_df(spark, d))
 
 
+def modeling_table(spark: SparkSession, d: str) -> DataFrame:
+    """The modelling cohort written once to the shared checkpoint folder:
+    queries that read it twice (level list, then rows) do not rebuild the
+    snapshot's windows and joins for each read."""
+    return materialize(modeling_df(spark, d), "modeling")
+
+
 def probs_df(spark: SparkSession, d: str) -> DataFrame:
     """Long ``(id, actual, class, prob)`` over the modelling cohort."""
-    return class_probabilities(modeling_df(spark, d))
+    return class_probabilities(modeling_table(spark, d))
 
 
 def preds_df(spark: SparkSession, d: str) -> DataFrame:
-    v = with_class_probabilities(modeling_df(spark, d))
+    v = with_class_probabilities(modeling_table(spark, d))
     return v.select("id", F.col("target").alias("actual"), "predicted")
 
 
+def eval_frames(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(preds, long probs) from ONE written modelling cohort."""
+    v = with_class_probabilities(modeling_table(spark, d))
+    preds = v.select("id", F.col("target").alias("actual"), "predicted")
+    probs = (v.select("id", F.col("target").alias("actual"), F.explode(F.arrays_zip("classes", "probs")).alias("_p"))
+             .select("id", "actual", F.col("_p.classes").alias("class"), F.col("_p.probs").alias("prob")))
+    return preds, probs
+
+
 def scored_df(spark: SparkSession, d: str) -> DataFrame:
     """Score frame of the modelling cohort: base risk from the probability
     vector, multipliers, composite score, level."""
-    m = relabel_contract(modeling_df(spark, d))
+    m = relabel_contract(modeling_table(spark, d))
     v = with_class_probabilities(m)
     v = v.withColumn("base_risk", base_risk(F.col("classes"), F.col("probs")))
     s = score_risk(v, payment_rule=SNAP_PAYMENT_RULE)
@@ -69,7 +86,7 @@ def scored_df(spark: SparkSession, d: str) -> DataFrame:
 def scored_new_df(spark: SparkSession, d: str) -> DataFrame:
     """B5 score frame of the recently joined cohort (classes of the
     modelling cohort, tenure multiplier fixed)."""
-    lab = labeled_df(spark, d)
+    lab = materialize(labeled_df(spark, d), "labeled")
     m = cohort_model(lab)
     n = relabel_contract(cohort_new(lab))
     v = with_class_probabilities(n, levels_from=m)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from attrition.operators import metrics as M
 from attrition.operators import split as S
-from attrition.plans.base import PROBS_SQL, modeling_df, preds_df, probs_df, with_sql
+from attrition.plans.base import PROBS_SQL, eval_frames, modeling_table, preds_df, probs_df, with_sql
 from attrition.plans.registry import register
 from attrition.sources.fixtures import with_class_probabilities
 
@@ -135,8 +135,8 @@ SELECT metric, round(value, 10) AS value, CASE WHEN metric = 'Overall Accuracy'
   THEN CAST(round(value * 100.0::DOUBLE, 2) AS VARCHAR) || '%' ELSE CAST(round(value, 4) AS VARCHAR) END AS display FROM v"""))
 def q_evaluation_summary(spark, d):
     """Five metric rows (value to 10 dp, display as printed)."""
-    p = probs_df(spark, d)
-    conf = M.confusion_long(preds_df(spark, d))
+    preds, p = eval_frames(spark, d)
+    conf = M.confusion_long(preds)
     s = M.evaluation_summary(M.overall_metrics(conf), M.macro_metrics(M.per_class_metrics(conf)),
                              M.macro_auc(M.auc_ovr(p)), M.log_loss(p))
     return s.select("metric", F.round("value", 10).alias("value"), "display")
@@ -148,6 +148,6 @@ SELECT fold, count(*) AS n, round(avg(CASE WHEN predicted = actual THEN 1.0 ELSE
 FROM preds JOIN f USING (id) GROUP BY fold"""))
 def q_fold_accuracy(spark, d):
     """Accuracy of the pseudo predictions per stratified fold."""
-    m = S.stratified_folds(modeling_df(spark, d))
+    m = S.stratified_folds(modeling_table(spark, d))
     v = with_class_probabilities(m).select("fold", F.col("target").alias("actual"), "predicted")
     return M.fold_accuracy(v, ["fold"]).select("fold", "n", F.round("accuracy", 12).alias("accuracy"))

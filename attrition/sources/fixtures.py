@@ -160,28 +160,40 @@ def with_class_probabilities(df: DataFrame, label: str = "target", id_col: str =
 
     raw(id, c) = 1 + 3 hex digits of md5(id:c), plus 8192 on the row's own
     label for ids whose md5(id:m) first digit is below 10; prob = raw /
-    sum(raw).  The levels come from one bounded aggregation (``collect_set``
-    of the labels of ``levels_from``, default ``df``) used as a scalar
-    subquery; each row builds its vector with higher-order functions, so
-    there is no join and no shuffle.  ``seed`` (a Column or string) varies
+    sum(raw).  The level list is collected once (its size is the class
+    count, bounded by the cardinality guard) and the per-class expressions
+    are unrolled into plain columns, so the row work stays in whole-stage
+    codegen; no join, no shuffle.  ``seed`` (a Column or string) varies
     the class hash: md5(id:seed:c)."""
     src = levels_from if levels_from is not None else df
-    levels = src.agg(F.sort_array(F.collect_set(F.col(label)))).scalar()
+    levels = sorted(r[0] for r in src.select(F.col(label)).distinct().collect() if r[0] is not None)
     idc = F.col(id_col)
     lucky = hex_digits_value(md5_key(idc, ":m"), 1, 1) < 10
 
-    def raw(c):
-        bonus = F.when((c == F.col(label)) & lucky, F.lit(8192)).otherwise(F.lit(0))
-        h = (md5_key(idc, F.lit(":"), c) if seed is None
-             else md5_key(idc, F.lit(":"), seed, F.lit(":"), c))
+    def raw(c: str):
+        bonus = F.when((F.col(label) == F.lit(c)) & lucky, F.lit(8192)).otherwise(F.lit(0))
+        h = (md5_key(idc, F.lit(":"), F.lit(c)) if seed is None
+             else md5_key(idc, F.lit(":"), seed, F.lit(":"), F.lit(c)))
         return (F.lit(1) + hex_digits_value(h, 1, 3) + bonus).cast("bigint")
 
-    d = df.withColumn("classes", levels).withColumn("_raw", F.transform("classes", raw))
-    d = d.withColumn("_tot", F.aggregate("_raw", F.lit(0).cast("bigint"), lambda a, x: a + x))
-    d = d.withColumn("probs", F.transform("_raw", lambda x: x / F.col("_tot")))
-    d = d.withColumn("predicted", F.element_at(
-        "classes", F.array_position("probs", F.array_max("probs")).cast("int")))
-    return d.drop("_raw", "_tot")
+    raws = [raw(c) for c in levels]
+    d = df.select("*", *[r.alias(f"__raw{i}") for i, r in enumerate(raws)])
+    tot = sum((F.col(f"__raw{i}") for i in range(len(levels))), F.lit(0).cast("bigint"))
+    d = d.withColumn("__tot", tot)
+    probs = [F.col(f"__raw{i}") / F.col("__tot") for i in range(len(levels))]
+    d = d.withColumn("classes", F.array(*[F.lit(c) for c in levels])).withColumn("probs", F.array(*probs))
+    # first maximum in level order
+    best = None
+    for i in range(len(levels) - 1, -1, -1):
+        better = F.lit(True)
+        for j in range(len(levels)):
+            if j < i:
+                better = better & (F.col(f"__raw{i}") > F.col(f"__raw{j}"))
+            elif j > i:
+                better = better & (F.col(f"__raw{i}") >= F.col(f"__raw{j}"))
+        best = F.when(better, F.lit(levels[i])) if best is None else F.when(better, F.lit(levels[i])).otherwise(best)
+    d = d.withColumn("predicted", best)
+    return d.drop(*[f"__raw{i}" for i in range(len(levels))], "__tot")
 
 
 def class_probabilities(df: DataFrame, label: str = "target", id_col: str = "id",
