@@ -21,7 +21,7 @@ from attrition.operators import split as S
 from attrition.operators.impute import impute_pmm, pmm_donor_match
 from attrition.plans import flows
 from attrition.plans.base import (ADDONS, LAB_SQL, PROBS_SQL, PROTECTION, RELABEL_SQL, STREAMING, labeled_df,
-                                  modeling_df, new_cohort_df, with_sql)
+                                  modeling_df, modeling_table, new_cohort_df, with_sql)
 from attrition.plans.q_prep import FEATURES_SQL
 from attrition.plans.registry import register
 from attrition.sources.fixtures import with_class_probabilities
@@ -49,7 +49,7 @@ nfa AS (SELECT id, tenure, contract,
   CAST(dense_rank() OVER (ORDER BY target) - 1 AS INTEGER) AS target_code FROM mdl"""))
 def q_encode_levels(spark, d):
     """Alphabetical class codes."""
-    return EN.encode_levels(modeling_df(spark, d), "target").select("id", "target", "target_code")
+    return EN.encode_levels(modeling_table(spark, d), "target").select("id", "target", "target_code")
 
 
 def _design_sql(src: str, fit_src: str) -> str:
@@ -145,7 +145,7 @@ def q_standardize(spark, d):
 FROM probs GROUP BY id"""))
 def q_prob_columns(spark, d):
     """One probability column per class from the probability array."""
-    m = modeling_df(spark, d)
+    m = modeling_table(spark, d)
     v = with_class_probabilities(m)
     classes = sorted(r[0] for r in m.select("target").distinct().collect())
     return EN.prob_columns(v, classes, "probs", keep=["id"])
@@ -197,7 +197,7 @@ PROFILE_COLS = ("tenure", "charge", "total_charges", "qty", "disc", "n_lines", "
 
 
 def _profile(spark, d):
-    return IN.class_profile_coefficients(modeling_df(spark, d), "target", PROFILE_COLS)
+    return IN.class_profile_coefficients(modeling_table(spark, d), "target", PROFILE_COLS)
 
 
 def _profile_sql() -> str:
@@ -281,7 +281,7 @@ N_ALPHA = 11  # the reference's grid 0, 0.1, ..., 1
 
 
 def _cv_preds(spark, d):
-    m = S.stratified_folds(modeling_df(spark, d))
+    m = S.stratified_folds(modeling_table(spark, d))
     m = m.withColumn("_ai", F.explode(F.sequence(F.lit(0), F.lit(N_ALPHA - 1))))
     v = with_class_probabilities(m, seed=F.concat(F.lit("a"), F.col("_ai").cast("string")))
     return v.select((F.col("_ai").cast("double") / F.lit(10.0)).alias("alpha"), "fold", "id",
@@ -390,7 +390,7 @@ SELECT id, v AS imputed FROM nn5 WHERE k = (
 def q_pmm_donor_match(spark, d):
     """M5: k=5 nearest donors in the predicted value (here the monthly
     charge plays y^, every 7th id's usage is treated as missing)."""
-    m = modeling_df(spark, d)
+    m = modeling_table(spark, d)
     sc = m.select("id", F.col("charge").alias("y"), F.when(F.col("id") % 7 != 0, F.col("qty")).alias("v"))
     return pmm_donor_match(sc, "id", "y", "v", k=5, seed="seed")
 

@@ -11,7 +11,7 @@ from attrition.operators import labels as L
 from attrition.operators.outliers import winsor_summary, winsorize
 from attrition.operators.quantiles import quantile_row
 from attrition.plans.base import (ADDONS, LAB_SQL, PHONE, LINES, PROTECTION, RELABEL_SQL,
-                                  STREAMING, labeled_df, modeling_df, new_cohort_df, snap_df, with_sql)
+                                  STREAMING, labeled_df, modeling_df, modeling_table, new_cohort_df, snap_df, with_sql)
 from attrition.plans.registry import register
 from attrition.sources.fixtures import SNAP_COLUMNS, SNAP_SQL
 from attrition.sources.tables import table
@@ -140,7 +140,7 @@ _cap = ", ".join(
 SELECT m.id, {_cap} FROM mdl m, b"""))
 def q_winsorize(spark, d):
     """M6: caps at the 1st/99th percentiles (values rounded to 6 dp in the report)."""
-    m = modeling_df(spark, d)
+    m = modeling_table(spark, d)
     w = winsorize(m, WINSOR_COLS)
     return w.select("id", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in WINSOR_COLS])
 
@@ -155,11 +155,11 @@ def q_winsorize(spark, d):
 FROM mdl""" for c in WINSOR_COLS)))
 def q_winsor_summary(spark, d):
     """M7"""
-    return winsor_summary(modeling_df(spark, d), WINSOR_COLS)
+    return winsor_summary(modeling_table(spark, d), WINSOR_COLS)
 
 
 def _features_frame(spark, d):
-    m = C.relabel_contract(modeling_df(spark, d))
+    m = C.relabel_contract(modeling_table(spark, d))
     return FE.derive_features(m, addons=ADDONS, streaming=STREAMING, protection=PROTECTION)
 
 
@@ -225,7 +225,7 @@ SELECT id, CASE WHEN charge >= q0 AND charge <= q33 THEN 'Economy' WHEN charge >
   WHEN charge > q67 AND charge <= q100 THEN 'Premium' END AS value_segment FROM mdl, q""".replace("\n", "\n", 1)))
 def q_value_segment(spark, d):
     """cut points are exact percentiles of the monthly charge."""
-    m = modeling_df(spark, d)
+    m = modeling_table(spark, d)
     q = quantile_row(m, ["charge"], [0.0, 0.33, 0.67, 1.0])
     cuts = [F.lit(q[("charge", p)]) for p in (0.0, 0.33, 0.67, 1.0)]
     return m.select("id", FE.value_segment(F.col("charge"), *cuts).alias("value_segment"))

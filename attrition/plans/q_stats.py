@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from attrition.operators import split as S
 from attrition.operators import stats as ST
 from attrition.operators.outliers import box_stats
-from attrition.plans.base import (LAB_SQL, LINES, PHONE, SCORED_SQL, labeled_df, modeling_df,
+from attrition.plans.base import (LAB_SQL, LINES, PHONE, SCORED_SQL, labeled_df, modeling_df, modeling_table,
                                   new_cohort_df, scored_df, snap_df, with_sql)
 from attrition.plans.registry import register
 from attrition.sources.fixtures import SNAP_SQL
@@ -59,7 +59,7 @@ SELECT m.target, count(*) AS n, round(any_value(f.q1), 6) AS q1, round(any_value
 FROM mdl m JOIN f USING (target) GROUP BY m.target"""))
 def q_box_stats(spark, d):
     """A5: monthly charge by class (quartiles reported to 6 dp)."""
-    b = box_stats(modeling_df(spark, d), "charge", by=["target"])
+    b = box_stats(modeling_table(spark, d), "charge", by=["target"])
     return b.select("target", "n", F.round("q1", 6).alias("q1"), F.round("median", 6).alias("median"),
                     F.round("q3", 6).alias("q3"), "whisker_low", "whisker_high", "n_outliers")
 
@@ -124,14 +124,14 @@ split AS (SELECT id, target, pos <= ceil(n_class * 0.8) AS is_train FROM sp)"""
 @register("stratified_split", with_sql(SPLIT_SQL, "SELECT * FROM split"))
 def q_stratified_split(spark, d):
     """Exact 80/20 per class."""
-    return S.stratified_split(modeling_df(spark, d)).select("id", "target", "is_train")
+    return S.stratified_split(modeling_table(spark, d)).select("id", "target", "is_train")
 
 
 @register("stratified_folds", with_sql(LAB_SQL, """SELECT id, target, CAST((row_number() OVER (PARTITION BY target
   ORDER BY md5(CAST(id AS VARCHAR) || ':' || '123:folds'), id) - 1) % 5 + 1 AS INTEGER) AS fold FROM mdl"""))
 def q_stratified_folds(spark, d):
     """Five folds balanced within each class."""
-    return S.stratified_folds(modeling_df(spark, d)).select("id", "target", "fold")
+    return S.stratified_folds(modeling_table(spark, d)).select("id", "target", "fold")
 
 
 WEIGHTS_SQL = SPLIT_SQL + """,
@@ -142,7 +142,7 @@ weights AS (SELECT class, n, sum(n) OVER () * 1.0::DOUBLE / (count(*) OVER () *
 @register("class_weights", with_sql(WEIGHTS_SQL, "SELECT * FROM weights"))
 def q_class_weights(spark, d):
     """On the training part."""
-    tr = S.stratified_split(modeling_df(spark, d)).filter("is_train")
+    tr = S.stratified_split(modeling_table(spark, d)).filter("is_train")
     return S.class_weights(tr)
 
 
@@ -150,11 +150,11 @@ def q_class_weights(spark, d):
   LEFT JOIN weights w ON w.class = s.target WHERE s.is_train"""))
 def q_weight_lookup(spark, d):
     """Each training row gets its class weight."""
-    tr = S.stratified_split(modeling_df(spark, d)).filter("is_train")
+    tr = S.stratified_split(modeling_table(spark, d)).filter("is_train")
     return S.attach_weights(tr, S.class_weights(tr)).select("id", "target", "weight")
 
 
 @register("complement", with_sql(SPLIT_SQL, "SELECT id, target FROM split WHERE NOT is_train"))
 def q_complement(spark, d):
     """The test part."""
-    return S.complement(S.stratified_split(modeling_df(spark, d))).select("id", "target")
+    return S.complement(S.stratified_split(modeling_table(spark, d))).select("id", "target")
