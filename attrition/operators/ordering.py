@@ -102,11 +102,6 @@ def hash_prefix_bucket(hash_hex: Column, digits: int = 3) -> Column:
     return F.substring(hash_hex, 1, digits)
 
 
-def unit_interval_bucket(score: Column, n: int = 1024) -> Column:
-    """Bucket for orders by a score in [0, 1] (equal-width bins)."""
-    return F.least(F.greatest(F.floor(score * F.lit(n)), F.lit(0)), F.lit(n)).cast("int")
-
-
 def with_quantile_bucket(df: DataFrame, col: str, out: str, n: int = 1024,
                          accuracy: int = 10000) -> DataFrame:
     """Add ``out``: the index of ``col`` among ``n - 1`` approximate
