@@ -84,7 +84,10 @@ def impute_pmm(df: DataFrame, id_col: str, targets: Sequence[str], predictors: S
     targets = [t for t in targets]
     miss = {t: f"__miss_{t}" for t in targets}
     means = df.agg(*[F.avg(F.col(t).cast("double")).alias(t) for t in targets]).first()
-    cur = df.select("*", *[F.col(t).isNull().alias(miss[t]) for t in targets])
+    # Iterate on a narrow frame (key, predictors, targets); the completed
+    # targets are joined back to the full rows by key once at the end.
+    narrow = df.select(id_col, *predictors, *targets)
+    cur = narrow.select("*", *[F.col(t).isNull().alias(miss[t]) for t in targets])
     for t in targets:
         cur = cur.withColumn(t, F.coalesce(F.col(t).cast("double"), F.lit(means[t])))
     cur = _materialize(cur)
@@ -102,9 +105,9 @@ def impute_pmm(df: DataFrame, id_col: str, targets: Sequence[str], predictors: S
                    .withColumn(t, F.when(F.col(miss[t]), F.col("__fill")).otherwise(F.col(t)))
                    .drop("__fill"))
             cur = _materialize(cur)
-    out = cur.drop(*miss.values())
-    return out.select(*[F.col(c).cast(df.schema[c].dataType).alias(c) if c in targets else F.col(c)
-                        for c in df.columns])
+    filled = cur.select(id_col, *[F.col(t).cast(df.schema[t].dataType).alias(t) for t in targets])
+    out = df.drop(*targets).join(filled, id_col, "inner")
+    return out.select(*df.columns)
 
 
 def mode_fill(df: DataFrame, cols: Sequence[str]) -> DataFrame:
