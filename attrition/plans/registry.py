@@ -3,6 +3,7 @@ operation can be written in SQL, an independent DuckDB oracle query."""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,13 @@ def register(key: str, sql: str | None = None):
     def deco(fn: QueryFn) -> QueryFn:
         if key in QUERIES:
             raise ValueError(f"duplicate query key {key}")
-        QUERIES[key] = fn
+
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            from attrition.session import apply_engine_conf
+            return fn(apply_engine_conf(spark), sf_dir)
+
+        QUERIES[key] = run
         if sql is not None:
             ORACLE_SQL[key] = sql.strip()
         return fn

@@ -23,6 +23,23 @@ DEFAULT_CONF = {
 }
 
 
+# Runtime SQL settings the engine relies on; applied to any session a
+# query receives (they are session-level and safe to set at run time).
+ENGINE_SQL_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.constraintPropagation.enabled": "false",
+    "spark.sql.session.timeZone": "UTC",
+}
+
+
+def apply_engine_conf(spark: SparkSession) -> SparkSession:
+    for k, v in ENGINE_SQL_CONF.items():
+        if spark.conf.get(k, None) != v:
+            spark.conf.set(k, v)
+    return spark
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "attrition", extra: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with the engine defaults.
