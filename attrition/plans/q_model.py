@@ -466,6 +466,20 @@ def q_model_risk_summary(spark, d):
     return risk_summary(flows.test_scores(spark, d))
 
 
+@register("model_evaluation")
+def q_model_evaluation(spark, d):
+    """Flow 2: the five summary metrics (accuracy, kappa, macro F1, macro
+    AUC, log loss) of the fitted model on the test part."""
+    from attrition.operators import metrics as M
+    s = flows.test_scores(spark, d)
+    preds = s.select("id", "actual", "predicted")
+    probs = (s.select("id", "actual", F.explode(F.arrays_zip("classes", "probs")).alias("_p"))
+             .select("id", "actual", F.col("_p.classes").alias("class"), F.col("_p.probs").alias("prob")))
+    conf = M.confusion_long(preds)
+    return M.evaluation_summary(M.overall_metrics(conf), M.macro_metrics(M.per_class_metrics(conf)),
+                                M.macro_auc(M.auc_ovr(probs)), M.log_loss(probs))
+
+
 @register("new_cohort_scoring")
 def q_new_cohort_scoring(spark, d):
     """The recently joined cohort through fills, imputation, training
