@@ -11,8 +11,9 @@ what passes with a margin is verified on the full sets.
 No bucket is expanded into pairs.  First every text is compared with the
 smallest id of its buckets, and the verified links are joined into components.
 Only buckets that still hold several components are looked at again, and there
-only texts of different components are compared, inside one task per bucket, in
-numpy; candidates that pass the estimate are verified.  Texts with the same
+only texts of different components are compared, in numpy: first each proposes
+its likeliest partners, and what these links have not joined proposes more, in
+the last round all that pass the estimate.  Texts with the same
 words are one text throughout.
 
 Nulls, empty texts and texts without words have an empty set and link with
@@ -40,6 +41,8 @@ MARGIN = 4 * (0.8 * 0.2 / BUCKETS) ** 0.5
 #: Bits of the filter by which texts to verify are picked in the scan.
 FILTER_BITS = 1 << 23
 LEAST = -(1 << 63)
+#: Partners that a text proposes in a bucket, round by round; at last all.
+PROPOSED = (2, 16, None)
 
 
 def word_sets(data: np.ndarray, offsets: np.ndarray, words: int):
@@ -190,33 +193,43 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def cross_pairs(table: pa.Table, least: float) -> pa.Table:
-    """Pairs of one bucket's texts, of different components, whose estimate is
-    at least ``least``: every text outside the largest component against all
-    texts of other components."""
-    node, comp = table["node"].to_numpy(), table["component"].to_numpy()
+def cross_pairs(table: pa.Table, least: float, part: int, whole: int, most: int | None) -> pa.Table:
+    """Pairs of one bucket's texts, of different components, that may reach
+    the similarity by their sizes and whose estimate is at least ``least``.
+    Every text outside the largest component is held against all texts of
+    other components and proposes its ``most`` likeliest partners (None: all)."""
+    node, comp, n = table["node"].to_numpy(), table["component"].to_numpy(), table["n_shingles"].to_numpy()
     regs = np.stack([np.frombuffer(r, np.uint16) for r in table["registers"].to_pylist()])
     names, where, size = np.unique(comp, return_inverse=True, return_counts=True)
-    largest = where == size.argmax()
     a, b = [], []
-    for i in np.flatnonzero(~largest):
-        others = np.flatnonzero((where != where[i]) & (largest | (where > where[i])))
-        for k in range(0, len(others), 4096):
-            o = others[k:k + 4096]
-            hit = o[estimate((regs[o] == regs[i]).mean(1)) >= least]
-            a += [max(node[i], x) for x in node[hit].tolist()]
-            b += [min(node[i], x) for x in node[hit].tolist()]
+    for i in np.flatnonzero(where != size.argmax()):
+        others = np.flatnonzero((where != where[i]) & (part * np.maximum(n, n[i]) <= whole * np.minimum(n, n[i])))
+        found = [(estimate((regs[o] == regs[i]).mean(1)), o) for o in np.split(others, range(4096, len(others), 4096))]
+        likely, others = np.concatenate([f for f, _ in found]), np.concatenate([o for _, o in found])
+        hit = np.flatnonzero(likely >= least)
+        if most is not None and len(hit) > most:
+            hit = hit[np.lexsort((node[others[hit]], -likely[hit]))[:most]]
+        partner = node[others[hit]]
+        a.append(np.maximum(partner, node[i]))
+        b.append(np.minimum(partner, node[i]))
+    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def _proposing(least: float, part: int, whole: int, most: int | None):
+    def run(table: pa.Table) -> pa.Table:
+        return cross_pairs(table, least, part, whole, most)
+    return run
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, part: int = 80, whole: int = 100) -> DataFrame:
     """node (the id), n_shingles, component and s1 and s2 (hashes of the words)
     of each row; the component is the smallest id that links lead to."""
     least = part / whole - MARGIN
     signed = materialize(signatures(docs, words), "signatures")
     rep = materialize(signed.where("n_shingles > 0").groupBy("s1", "s2").agg(
-        F.min("node").alias("node"), F.min_by("registers", "node").alias("registers")), "texts")
-    regs = rep.select("node", "registers")
+        F.min("node").alias("node"), F.min_by("registers", "node").alias("registers"), F.max("n_shingles").alias("n_shingles")), "texts")
+    regs = rep.select("node", "registers", "n_shingles")
     keys = rep.select("node", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"), "registers").select(
         "node", F.expr(f"xxhash64(band, substring(registers, band * {2 * ROWS} + 1, {2 * ROWS}))").alias("key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -224,18 +237,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, part: int = 80, whole: int
 
     # each text against the smallest id of each of its buckets
     star = buckets.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
-    star = (star.join(regs.toDF("a", "ra"), "a").join(regs.toDF("b", "rb"), "b").mapInArrow(_passing(least), "a long, b long"))
+    star = (star.join(regs.select(F.col("node").alias("a"), F.col("registers").alias("ra")), "a")
+            .join(regs.select(F.col("node").alias("b"), F.col("registers").alias("rb")), "b").mapInArrow(_passing(least), "a long, b long"))
     star = materialize(star.groupBy("a").agg(F.min("b").alias("b")), "star")
     links = verified(docs, star, words, part, whole)
     labels = components(links)
 
-    # buckets that still hold several components
-    named = buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    again = (named.join(mixed.select("key"), "key").join(regs, "node").groupBy("key")
-             .applyInArrow(lambda t: cross_pairs(t.select(["node", "component", "registers"]), least), "a long, b long"))
-    more = verified(docs, materialize(again.distinct(), "pairs"), words, part, whole)
-    labels = components(links.union(more))
+    # buckets that still hold several components, the likeliest partners first
+    tested = star
+    for most in PROPOSED:
+        named = buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+        again = (named.join(mixed.select("key"), "key").join(regs, "node").groupBy("key")
+                 .applyInArrow(_proposing(least, part, whole, most), "a long, b long"))
+        fresh = materialize(again.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        if fresh.isEmpty():
+            continue
+        links = links.union(verified(docs, fresh, words, part, whole))
+        tested = tested.union(fresh)
+        labels = components(links)
 
     found = signed.join(rep.select("s1", "s2", F.col("node").alias("text_node")), ["s1", "s2"], "left")
     found = found.join(labels.withColumnRenamed("node", "text_node"), "text_node", "left")
