@@ -12,8 +12,8 @@ No bucket is expanded into pairs.  First every text is compared with the
 smallest id of its buckets, and the verified links are joined into components.
 Only buckets that still hold several components are looked at again, and there
 only texts of different components are compared, in numpy: first each proposes
-its likeliest partners, and what these links have not joined proposes more, in
-the last round all that pass the estimate.  Texts with the same
+its likeliest partners; what these links have not joined proposes every partner
+that passes the estimate and a comparison of the sets.  Texts with the same
 words are one text throughout.
 
 Nulls, empty texts and texts without words have an empty set and link with
@@ -41,8 +41,9 @@ MARGIN = 4 * (0.8 * 0.2 / BUCKETS) ** 0.5
 #: Bits of the filter by which texts to verify are picked in the scan.
 FILTER_BITS = 1 << 23
 LEAST = -(1 << 63)
-#: Partners that a text proposes in a bucket, round by round; at last all.
-PROPOSED = (2, 16, None)
+#: Partners that a text proposes in a bucket, round by round; at last all
+#: whose sets pass.
+PROPOSED = (2, None)
 
 
 def word_sets(data: np.ndarray, offsets: np.ndarray, words: int):
@@ -197,11 +198,16 @@ def cross_pairs(table: pa.Table, least: float, part: int, whole: int, most: int
     """Pairs of one bucket's texts, of different components, that may reach
     the similarity by their sizes and whose estimate is at least ``least``.
     Every text outside the largest component is held against all texts of
-    other components and proposes its ``most`` likeliest partners (None: all)."""
+    other components and proposes its ``most`` likeliest partners.  With None
+    it proposes all whose sets (``small``, 32 bits of each shingle hash) reach
+    the similarity, a pair only in the first band that its texts share."""
     node, comp, n = table["node"].to_numpy(), table["component"].to_numpy(), table["n_shingles"].to_numpy()
     regs = np.stack([np.frombuffer(r, np.uint16) for r in table["registers"].to_pylist()])
     names, where, size = np.unique(comp, return_inverse=True, return_counts=True)
-    a, b = [], []
+    bands, a, b = regs[:, :BANDS * ROWS].copy().view(np.uint64), [], []
+    if most is None:
+        band = int(table["band"][0].as_py())
+        sets = [np.frombuffer(x, np.uint32) for x in table["small"].to_pylist()]
     for i in np.flatnonzero(where != size.argmax()):
         others = np.flatnonzero((where != where[i]) & (part * np.maximum(n, n[i]) <= whole * np.minimum(n, n[i])))
         found = [(estimate((regs[o] == regs[i]).mean(1)), o) for o in np.split(others, range(4096, len(others), 4096))]
@@ -209,6 +215,10 @@ def cross_pairs(table: pa.Table, least: float, part: int, whole: int, most: int
         hit = np.flatnonzero(likely >= least)
         if most is not None and len(hit) > most:
             hit = hit[np.lexsort((node[others[hit]], -likely[hit]))[:most]]
+        if most is None:
+            hit = hit[~(bands[others[hit], :band] == bands[i, :band]).any(1)]
+            both = np.array([len(np.intersect1d(sets[i], sets[o], assume_unique=True)) for o in others[hit]], np.int64)
+            hit = hit[whole * both >= part * (n[i] + n[others[hit]] - both)]
         partner = node[others[hit]]
         a.append(np.maximum(partner, node[i]))
         b.append(np.minimum(partner, node[i]))
@@ -216,6 +226,16 @@ def cross_pairs(table: pa.Table, least: float, part: int, whole: int, most: int
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def _small_sets(words: int):
+    """(node, 32 bits of each shingle hash, in order).  Different shingles
+    with equal bits count once for each, so a link is never lost."""
+    def run(batches):
+        for batch in batches:
+            sets = [(shingles(t, words) >> np.uint64(32)).astype(np.uint32).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "small"])
+    return run
+
+
 def _proposing(least: float, part: int, whole: int, most: int | None):
     def run(table: pa.Table) -> pa.Table:
         return cross_pairs(table, least, part, whole, most)
@@ -231,7 +251,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, part: int = 80, whole: int
         F.min("node").alias("node"), F.min_by("registers", "node").alias("registers"), F.max("n_shingles").alias("n_shingles")), "texts")
     regs = rep.select("node", "registers", "n_shingles")
     keys = rep.select("node", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"), "registers").select(
-        "node", F.expr(f"xxhash64(band, substring(registers, band * {2 * ROWS} + 1, {2 * ROWS}))").alias("key"))
+        "node", "band", F.expr(f"xxhash64(band, substring(registers, band * {2 * ROWS} + 1, {2 * ROWS}))").alias("key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     buckets = materialize(keys.join(shared, "key"), "buckets")
 
@@ -248,7 +268,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, part: int = 80, whole: int
     for most in PROPOSED:
         named = buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-        again = (named.join(mixed.select("key"), "key").join(regs, "node").groupBy("key")
+        held = named.join(mixed.select("key"), "key").join(regs, "node")
+        if most is None:
+            texts = needed_texts(docs, materialize(held.select("node").distinct(), "nodes"))
+            held = held.join(texts.mapInArrow(_small_sets(words), "node long, small binary"), "node")
+        again = (held.groupBy("key")
                  .applyInArrow(_proposing(least, part, whole, most), "a long, b long"))
         fresh = materialize(again.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         if fresh.isEmpty():
