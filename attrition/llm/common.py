@@ -3,6 +3,8 @@ columns as numpy arrays, blocks of bounded size inside a task."""
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,8 +15,16 @@ BLOCK_BYTES = 2 << 20
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def find_modules(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this library from where the driver has it
+    (same place on every machine; else send it with ``--py-files``)."""
+    root = str(Path(__file__).resolve().parents[2])
+    spark.sparkContext.environment.setdefault("PYTHONPATH", root)
+    return spark
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return find_modules(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def keyed(docs: DataFrame) -> DataFrame:

@@ -69,20 +69,20 @@ def rebalance(slots: SlotMap, weight: np.ndarray, max_edits: int = 100_000) -> S
 
 def grow(slots: SlotMap, weight: np.ndarray) -> SlotMap:
     """The next version with one more shard: slots move only into it, each
-    from the shard that is heaviest at that moment."""
+    from the shard that is heaviest at that moment among those with a slot
+    that fits."""
     n, shard = slots.n_shards + 1, slots.shard.copy()
     load = np.bincount(shard, weights=weight, minlength=n)
     goal = load.sum() / n
     while load[-1] < goal:
-        hi = int(load[:-1].argmax())
-        own = np.flatnonzero(shard == hi)
-        fits = own[(weight[own] > 0) & (weight[own] <= goal - load[-1])]
-        if not len(fits):
+        fits = (shard < n - 1) & (weight > 0) & (weight <= goal - load[-1])
+        if not fits.any():
             break
-        s = fits[int(weight[fits].argmax())]
-        shard[s] = n - 1
-        load[hi] -= weight[s]
+        # the heaviest shard that has a slot that fits, and its largest such slot
+        s = int(np.lexsort((-weight, -load[shard], ~fits))[0])
+        load[shard[s]] -= weight[s]
         load[-1] += weight[s]
+        shard[s] = n - 1
     return SlotMap(slots.version + 1, n, shard)
 
 
