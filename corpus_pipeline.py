@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attrition.llm import decontaminate, hyperminhash, packing, pii, quality
-from attrition.llm.common import documents
+from attrition.llm.common import documents, find_modules
 from attrition.llm.queries import tokenizer_path
 from attrition.session import materialize
 
@@ -25,7 +25,7 @@ WORDS, SIMILAR, OF = 5, 80, 100
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the byte-level network scores at 0.5 or more.  It is
     trained on labels of the documents at hand."""
-    net = quality.train(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    net = quality.train(find_modules(spark), docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.keep_good(docs, net)
 
 
