@@ -47,16 +47,26 @@ def pmm_donor_match(scored: DataFrame, id_col: str, yhat: str, value: str, k: in
     d = d.withColumn("_dcum", F.coalesce("_dcum", F.lit(0)).cast("bigint")).persist()
     try:
         donors = (d.filter("_donor = 1")
-                  .select(F.col("_id").alias("_did"), F.col("_y").alias("_dy"), "_v",
-                          F.col("_dcum").alias("_rank"))
-                  .withColumn("_block", F.floor((F.col("_rank") - 1) / k).cast("bigint")))
+                  .select(F.col("_id").alias("_did"), F.col("_y").alias("_dy"), "_v", F.col("_dcum").alias("_rank")))
+        # Below a recipient the nearest donors are the last ones, so equal
+        # predictions are numbered there by descending id: the smallest ids of
+        # a tie come first on either side.
+        ties = donors.groupBy("_dy").agg((F.min("_rank") + F.max("_rank")).alias("_ends"))
+        sides = donors.join(ties, "_dy").withColumn(
+            "_place", F.explode(F.array(F.struct(F.lit(0).alias("side"), (F.col("_ends") - F.col("_rank")).alias("at")),
+                                        F.struct(F.lit(1).alias("side"), F.col("_rank").alias("at")))))
+        donors = sides.select("_did", "_dy", "_v", F.col("_place.side").alias("_side"), F.col("_place.at").alias("_at"),
+                              F.floor((F.col("_place.at") - 1) / k).cast("bigint").alias("_block"))
         rec = d.filter("_donor = 0").select("_id", "_y", F.col("_dcum").alias("_p"))
-        lo = F.greatest(F.col("_p") - k + 1, F.lit(1))
-        hi = F.col("_p") + k
-        rec = rec.withColumn("_block", F.explode(F.sequence(F.floor((lo - 1) / k).cast("bigint"),
-                                                            F.floor((hi - 1) / k).cast("bigint"))))
-        cand = (rec.join(donors, "_block")
-                .filter((F.col("_rank") >= lo) & (F.col("_rank") <= hi)))
+        rec = rec.withColumn("_range", F.explode(F.array(
+            F.struct(F.lit(0).alias("side"), F.greatest(F.col("_p") - k + 1, F.lit(1)).alias("lo"), F.col("_p").alias("hi")),
+            F.struct(F.lit(1).alias("side"), (F.col("_p") + 1).alias("lo"), (F.col("_p") + k).alias("hi")))))
+        rec = rec.select("_id", "_y", F.col("_range.side").alias("_side"), F.col("_range.lo").alias("_lo"),
+                         F.col("_range.hi").alias("_hi")).filter("_lo <= _hi")
+        rec = rec.withColumn("_block", F.explode(F.sequence(F.floor((F.col("_lo") - 1) / k).cast("bigint"),
+                                                            F.floor((F.col("_hi") - 1) / k).cast("bigint"))))
+        cand = (rec.join(donors, ["_side", "_block"])
+                .filter((F.col("_at") >= F.col("_lo")) & (F.col("_at") <= F.col("_hi"))))
         w = Window.partitionBy("_id").orderBy(F.abs(F.col("_y") - F.col("_dy")), F.col("_did"))
         cand = cand.withColumn("_nn", F.row_number().over(w)).filter(F.col("_nn") <= k)
         cand = cand.withColumn("_kk", F.count(F.lit(1)).over(Window.partitionBy("_id")))

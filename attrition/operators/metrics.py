@@ -9,6 +9,8 @@ rows by (class, score) and then takes exact prefix sums with
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -94,6 +96,32 @@ def accuracy_ci(correct: Column, n: Column, z: float = Z95) -> tuple[Column, Col
     return centre - half, centre + half
 
 
+def exact_interval(correct: int, n: int, level: float = 0.95) -> tuple[float, float]:
+    """Exact binomial interval of ``correct`` out of ``n``: the rates at which
+    as many or more, and as many or fewer, have probability (1 - level) / 2.
+    Two counts of a one-row result, so it runs on the driver."""
+    tail = (1 - level) / 2
+
+    def at_least(k: int, p: float) -> float:
+        if k <= 0 or p >= 1:
+            return 1.0
+        if p <= 0:
+            return 0.0
+        logs = (math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1)
+                + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k, n + 1))
+        return math.fsum(map(math.exp, logs))
+
+    def solve(k: int, goal: float) -> float:
+        lo, hi = 0.0, 1.0
+        for _ in range(60):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if at_least(k, mid) < goal else (lo, mid)
+        return (lo + hi) / 2
+
+    return (0.0 if correct == 0 else solve(correct, tail),
+            1.0 if correct == n else solve(correct + 1, 1 - tail))
+
+
 def per_class_metrics(conf: DataFrame) -> DataFrame:
     """E5: sensitivity, specificity, precision, F1, balanced accuracy per class
     (one-vs-rest from the confusion margins; 0/0 gives null)."""

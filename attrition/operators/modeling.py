@@ -149,12 +149,15 @@ def fit_final(train: DataFrame, label: str, selected: Sequence[str], classes: Se
 
 def predict(fm: FittedModel, df: DataFrame, id_col: str = "id", keep: Sequence[str] = ()) -> DataFrame:
     """Predicted class and class probabilities (array aligned with
-    ``fm.classes``) for new rows, through the fitted design."""
-    vec = assemble(df, fm.design, keep=[id_col, *keep])
-    out = fm.model.transform(vec)
+    ``fm.classes``) for new rows, through the fitted design.  Every row comes
+    back; one with a null design value has a null prediction."""
+    vec = assemble(df, fm.design, keep=[id_col, *keep], invalid="keep")
+    out = fm.model.transform(vec).withColumn("_p", vector_to_array("probability"))
+    known = ~F.exists(vector_to_array("features"), F.isnan)
     classes = F.array(*[F.lit(c) for c in fm.classes])
-    return out.select(id_col, *keep, F.element_at(classes, (F.col("prediction") + 1).cast("int")).alias("predicted"),
-                      vector_to_array("probability").alias("probs"), classes.alias("classes"))
+    return out.select(id_col, *keep,
+                      F.when(known, F.element_at(classes, (F.col("prediction") + 1).cast("int"))).alias("predicted"),
+                      F.when(known, F.col("_p")).alias("probs"), classes.alias("classes"))
 
 
 def alpha_grid(train: DataFrame, label: str, candidates: Sequence[str], classes: Sequence[str],

@@ -65,25 +65,30 @@ def box_stats(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     box-plot data): q1, median, q3 (type 7), whisker ends = most extreme
     values inside the fences, and the number of points outside them."""
     by = list(by)
-    q = quantiles(df, [value], [0.25, 0.5, 0.75], by=by)
-    qw = (q.groupBy(*by)
+    x = F.col(value).cast("double")
+    # A struct of the group columns is never null itself, so a null group
+    # joins with its own statistics.
+    group = ["_group"] if by else []
+    rows = df.select(*([F.struct(*by).alias("_group")] if by else []), x.alias("_x")).filter(F.col("_x").isNotNull())
+    q = quantiles(rows, ["_x"], [0.25, 0.5, 0.75], by=group)
+    qw = (q.groupBy(*group)
           .agg(F.max(F.when(F.col("prob") == 0.25, F.col("value"))).alias("q1"),
                F.max(F.when(F.col("prob") == 0.5, F.col("value"))).alias("median"),
                F.max(F.when(F.col("prob") == 0.75, F.col("value"))).alias("q3")))
     iqr = F.col("q3") - F.col("q1")
     qw = qw.withColumn("lo_fence", F.col("q1") - F.lit(1.5) * iqr) \
            .withColumn("hi_fence", F.col("q3") + F.lit(1.5) * iqr)
-    x = F.col(value).cast("double")
-    rows = df.select(*by, x.alias("_x")).filter(F.col("_x").isNotNull())
     if by:
-        j = rows.join(qw, by)
+        j = rows.join(qw, group)
     else:  # one row of four numbers: literals, no join
         r = qw.first()
         j = rows.select("_x", *[F.lit(r[c]).alias(c) for c in ("q1", "median", "q3", "lo_fence", "hi_fence")])
     inside = (F.col("_x") >= F.col("lo_fence")) & (F.col("_x") <= F.col("hi_fence"))
-    return (j.groupBy(*by)
+    out = (j.groupBy(*group)
             .agg(F.count(F.lit(1)).alias("n"),
                  F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"),
                  F.min(F.when(inside, F.col("_x"))).alias("whisker_low"),
                  F.max(F.when(inside, F.col("_x"))).alias("whisker_high"),
                  F.sum((~inside).cast("bigint")).alias("n_outliers")))
+    stats = [c for c in out.columns if c not in group]
+    return out.select(*[F.col("_group")[c].alias(c) for c in by], *stats)
