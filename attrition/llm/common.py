@@ -3,6 +3,7 @@ columns as numpy arrays, blocks of bounded size inside a task."""
 
 from __future__ import annotations
 
+import ctypes
 from pathlib import Path
 
 import numpy as np
@@ -54,6 +55,15 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
+def release() -> None:
+    """Give freed memory back at the end of a task: workers live on and serve
+    the next stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def row_blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES):
     """(first, end) rows of consecutive blocks of about ``limit`` bytes; a
     longer text is a block of its own."""

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attrition.llm.common import LOWER, SPACE, WordHasher, mix64, powers, rolling, row_blocks, spans_of, utf8
+from attrition.llm.common import LOWER, SPACE, WordHasher, mix64, powers, release, rolling, row_blocks, spans_of, utf8
 from attrition.session import materialize
 
 BUCKETS, MANTISSA, ROWS = 128, 10, 4
@@ -120,6 +120,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                     [ids.slice(i, j - i), pa.array(np.bincount(rows, minlength=j - i).astype(np.int64)),
                      *[pa.array(s.view(np.int64)) for s in seq], pa.array([r.tobytes() for r in regs], pa.binary())],
                     names=["node", "n_shingles", "s1", "s2", "registers"])
+        release()
 
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("node"), "text").mapInArrow(run, SIGNED)
 
@@ -165,6 +166,7 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int, part: int, whole: int
                 both = len(np.intersect1d(hashes, other, assume_unique=True))
                 ok.append(both > 0 and whole * both >= part * (len(hashes) + len(other) - both))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        release()
 
     return joined.mapInArrow(run, "a long, b long")
 

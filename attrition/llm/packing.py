@@ -28,9 +28,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from attrition.llm.common import release
+
 CAPACITY, PIECE, GROUP, END_ID = 2048, 512, 768, 1
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
 
 
 def difference(sizes: list[int], windows: int) -> list[tuple[int, list[int]]]:
@@ -219,6 +221,7 @@ def pack(docs: DataFrame, tokenizer_path: str, with_ids: bool = False, capacity:
         close()
         if rows:
             yield out()
+        release()
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(
         run, SCHEMA + (", ids array<int>" if with_ids else ""))

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from attrition.llm.common import SPACE, row_blocks, spans_of, utf8
+from attrition.llm.common import SPACE, release, row_blocks, spans_of, utf8
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 LABELS = ("O", *KINDS)
@@ -99,7 +99,7 @@ score 3-2 after 90 minutes
 """
 MARKS = {"E": 1, "I": 2, "C": 3, "P": 4, "S": 5}
 #: Bytes of text decoded at a time.
-DECODE_BYTES = 8 << 20
+DECODE_BYTES = 4 << 20
 
 #: Character classes, one bit each: digit, upper, lower, "@", dot, phone
 #: punctuation, other symbol, quote or "=".
@@ -363,6 +363,7 @@ def detect(docs: DataFrame, field: Field | None = None) -> DataFrame:
                      pa.array([joined(a) for _, a in found], pa.string()),
                      pa.array([len(a) - len(b) for b, a in found], pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in SCHEMA.split(", ")])
+        release()
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SCHEMA)
 
@@ -386,6 +387,7 @@ def mask(docs: DataFrame, field: Field | None = None) -> DataFrame:
                 cols[c] = pa.array([len(t) if a else n for t, a, n in
                                     zip(texts, _changed(texts, column), cols[c].to_pylist())], cols[c].type)
             yield pa.RecordBatch.from_arrays(cols, names=names)
+        release()
 
     return docs.mapInArrow(run, docs.schema)
 

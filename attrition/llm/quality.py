@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attrition.llm.common import row_blocks, utf8
+from attrition.llm.common import release, row_blocks, utf8
 
 SAMPLE, TRAIN_CHUNKS = 2000, 12
 CHUNK, OVERLAP = 512, 32
@@ -205,5 +205,6 @@ def keep_good(docs: DataFrame, net: Network, threshold: float = 0.5) -> DataFram
     def run(batches):
         for batch in batches:
             yield batch.filter(pa.array(probabilities(shared.value, batch.column(at)) >= threshold))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
