@@ -32,3 +32,22 @@ def test_exact_interval():
     assert sum(pmf(lo, i) for i in range(818, 1317)) == pytest.approx(0.025, abs=1e-9)
     assert sum(pmf(hi, i) for i in range(0, 819)) == pytest.approx(0.025, abs=1e-9)
     assert exact_interval(0, 10)[0] == 0 and exact_interval(10, 10)[1] == 1
+
+
+def test_predict_returns_every_row(spark):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.sql import functions as F
+    from attrition.operators import modeling as M
+    from attrition.operators.encode import assemble
+
+    class Plain:
+        names = ["x"]
+
+        def scaled_columns(self):
+            return [F.col("x")]
+
+    df = spark.createDataFrame([(i, float(i % 3)) for i in range(30)], "id long, x double").withColumn("y", F.col("x"))
+    model = LogisticRegression(featuresCol="features", labelCol="y").fit(assemble(df, Plain(), keep=["id", "y"]))
+    fitted = M.FittedModel(model, Plain(), ["a", "b", "c"], 0.0, 0.0, ["x"], None)
+    got = M.predict(fitted, spark.createDataFrame([(1, 1.0), (2, None)], "id long, x double")).orderBy("id").collect()
+    assert [(r["id"], r["predicted"], r["probs"] is None) for r in got] == [(1, "b", False), (2, None, True)]
