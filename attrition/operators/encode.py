@@ -148,7 +148,8 @@ def design_long(df: DataFrame, design: Design, id_col: str = "id", scaled: bool
 def assemble(df: DataFrame, design: Design, keep: Sequence[str] = (), scaled: bool = True,
              out: str = "features", invalid: str = "skip") -> DataFrame:
     """Design vector column for Spark ML.  Rows with a null design value are
-    left out (``skip``), or stay with NaN in the vector (``keep``)."""
+    left out (``skip``), stay with NaN in the vector (``keep``), or stop the
+    job (``error``)."""
     cols = design.scaled_columns() if scaled else design.raw_columns()
     names = [f"__x{i}" for i in range(len(cols))]
     wide = df.select(*keep, *[c.cast("double").alias(n) for c, n in zip(cols, names)])

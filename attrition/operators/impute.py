@@ -17,7 +17,7 @@ recipient, no cross join, no skew.
 Differences from the reference's imputation library: predictions for
 recipients use the fitted coefficients (no Bayesian parameter draw), one
 completed set is produced (the reference computes five and keeps the
-first), and remaining string nulls take the column's most frequent level.
+first), and ``mode_fill`` is there for strings.
 """
 
 from __future__ import annotations
@@ -90,16 +90,19 @@ def impute_pmm(df: DataFrame, id_col: str, targets: Sequence[str], predictors: S
     using the complete ``predictors`` and the other targets' current
     fills.  Starts from the column mean; each iteration refits every
     target in turn and re-draws its missing cells; each iteration's state
-    is written to the shared checkpoint folder, cutting lineage."""
-    targets = [t for t in targets]
+    is written to the shared checkpoint folder, cutting lineage.  A null
+    predictor counts as its column's mean, so every cell of a target with any
+    known value is filled; a target or predictor without one is left out."""
+    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in [*targets, *predictors]]).first()
+    targets = [t for t in targets if means[t] is not None]
+    predictors = [p for p in predictors if means[p] is not None]
     miss = {t: f"__miss_{t}" for t in targets}
-    means = df.agg(*[F.avg(F.col(t).cast("double")).alias(t) for t in targets]).first()
     # Iterate on a narrow frame (key, predictors, targets); the completed
     # targets are joined back to the full rows by key once at the end.
     narrow = df.select(id_col, *predictors, *targets)
     cur = narrow.select("*", *[F.col(t).isNull().alias(miss[t]) for t in targets])
-    for t in targets:
-        cur = cur.withColumn(t, F.coalesce(F.col(t).cast("double"), F.lit(means[t])))
+    for c in [*targets, *predictors]:
+        cur = cur.withColumn(c, F.coalesce(F.col(c).cast("double"), F.lit(means[c])))
     cur = _materialize(cur)
     for it in range(1, max_iter + 1):
         for t in targets:

@@ -189,10 +189,12 @@ def roc_points(probs: DataFrame, buckets: int = 1024) -> DataFrame:
     counts = with_quantile_bucket(counts, "prob", "_sb", buckets)
     run = bucketed_running(counts, ["class"], -F.col("_sb"),
                            [F.desc("prob")], sums={"tp": F.col("pos"), "fp": F.col("neg")})
-    tot = Window.partitionBy("class")
-    return run.select("class", F.col("prob").alias("threshold"),
-                      _safe_div(F.col("tp"), F.sum("pos").over(tot)).alias("tpr"),
-                      _safe_div(F.col("fp"), F.sum("neg").over(tot)).alias("fpr"))
+    # One row per class, so it is broadcast; a window over all points of a
+    # class would bring them into one task.
+    tot = counts.groupBy(F.col("class").alias("_c")).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
+    return (run.join(F.broadcast(tot), F.col("class").eqNullSafe(F.col("_c")))
+            .select("class", F.col("prob").alias("threshold"), _safe_div(F.col("tp"), F.col("_p")).alias("tpr"),
+                    _safe_div(F.col("fp"), F.col("_n")).alias("fpr")))
 
 
 def churn_scores(probs: DataFrame, reference: str = "No Churn") -> DataFrame:
@@ -219,20 +221,18 @@ def log_loss(probs: DataFrame, eps: float = LOG_EPS) -> DataFrame:
 
 
 def evaluation_summary(overall: DataFrame, macro: DataFrame, mauc: DataFrame, ll: DataFrame) -> DataFrame:
-    """Five (metric, value, display) rows; accuracy shown as a percent."""
-    acc = overall.select("accuracy").scalar()
-    kappa = overall.select("kappa").scalar()
-    f1 = macro.select("macro_f1").scalar()
-    auc = mauc.select("macro_auc").scalar()
-    lls = ll.select("log_loss").scalar()
-    rows = [("Overall Accuracy", acc, F.concat(F.round(acc * F.lit(100.0), 2).cast("string"), F.lit("%"))),
-            ("Cohen's Kappa", kappa, F.round(kappa, 4).cast("string")),
-            ("Macro F1-Score", f1, F.round(f1, 4).cast("string")),
-            ("Macro AUC", auc, F.round(auc, 4).cast("string")),
-            ("Log Loss", lls, F.round(lls, 4).cast("string"))]
-    arr = F.array(*[F.struct(F.lit(m).alias("metric"), v.alias("value"), d.alias("display"))
-                    for m, v, d in rows])
-    return overall.sparkSession.range(1).select(F.explode(arr).alias("r")).select("r.*")
+    """Five (metric, value, display) rows; accuracy shown as a percent.
+    Each input is one row and turns into its own rows: none is read twice."""
+    def rows(one: DataFrame, **named: str) -> DataFrame:
+        return one.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(c).cast("double").alias("value"))
+                                              for c, m in named.items()])).alias("r")).select("r.*")
+
+    found = (rows(overall, accuracy="Overall Accuracy", kappa="Cohen's Kappa").unionByName(rows(macro, macro_f1="Macro F1-Score"))
+             .unionByName(rows(mauc, macro_auc="Macro AUC")).unionByName(rows(ll, log_loss="Log Loss")))
+    value = F.col("value")
+    percent = F.concat(F.round(value * F.lit(100.0), 2).cast("string"), F.lit("%"))
+    return found.withColumn("display", F.when(F.col("metric") == "Overall Accuracy", percent)
+                            .otherwise(F.round(value, 4).cast("string")))
 
 
 def fold_accuracy(preds: DataFrame, by: Sequence[str] = (), actual: str = "actual",

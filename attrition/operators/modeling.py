@@ -10,33 +10,38 @@ a distributed Spark job.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attrition.operators import split as S
 from attrition.operators.encode import Design, assemble, fit_design
 from attrition.operators.selection import cardinality_guard, cumulative_select, forest_importance
+from attrition.session import materialize
+from attrition.sources.sinks import sink_model
 
 
 @dataclass
 class ModelConfig:
-    """Knobs of the nested search (defaults sized for driver-run checks;
-    the reference's full grid is alphas 0, 0.1, ..., 1 x 5 folds)."""
-    alphas: tuple = (0.0, 0.5, 1.0)
-    folds: int = 3
-    inner_folds: int = 3
-    n_lambdas: int = 4
+    """Knobs of the nested search; the defaults are the analysis' own: eleven
+    alphas, five outer and five inner folds, ten folds for the final model's
+    lambda, 100 trees, 100 lambdas."""
+    alphas: tuple = tuple(i / 10 for i in range(11))
+    folds: int = 5
+    inner_folds: int = 5
+    final_folds: int = 10
+    n_lambdas: int = 100
     lambda_ratio: float = 1e-3
-    max_iter: int = 50
+    max_iter: int = 100
     parallelism: int = 4
     seed: int = 123
     share: float = 0.95
@@ -52,11 +57,15 @@ def with_label_index(df: DataFrame, label: str, classes: Sequence[str], out: str
     return df.withColumn(out, (F.array_position(arr, F.col(label)) - 1).cast("double"))
 
 
-def lambda_max(vec: DataFrame, alpha: float, label: str = "label", weight: str = "weight",
-               features: str = "features") -> float:
-    """Smallest lambda with all coefficients zero: max |gradient| at the
-    intercept-only fit divided by alpha (floored at 1e-3 for ridge), from
-    ONE grouped aggregation (K rows of p-vectors reach the driver)."""
+def lambda_max(gradient: float, alpha: float) -> float:
+    """Smallest lambda with all coefficients zero: the largest gradient at the
+    intercept-only fit divided by alpha (floored at 1e-3 for ridge)."""
+    return gradient / max(alpha, 1e-3)
+
+
+def null_gradient(vec: DataFrame, label: str = "label", weight: str = "weight", features: str = "features") -> float:
+    """Max |gradient| at the intercept-only fit, from ONE grouped aggregation
+    (K rows of p-vectors reach the driver).  No alpha is involved."""
     rows = (vec.groupBy(label)
             .agg(Summarizer.metrics("sum").summary(F.col(features), F.col(weight)).alias("s"),
                  F.sum(weight).alias("w"))
@@ -70,7 +79,7 @@ def lambda_max(vec: DataFrame, alpha: float, label: str = "label", weight: str =
         pk = r["w"] / total_w
         for j in range(p):
             g = max(g, abs((sums[r[label]][j] - pk * tot[j]) / total_w))
-    return g / max(alpha, 1e-3)
+    return g
 
 
 def lambda_grid(lmax: float, n: int, ratio: float) -> list[float]:
@@ -87,16 +96,18 @@ def elastic_net(alpha: float, lam: float, max_iter: int = 100) -> LogisticRegres
                               labelCol="label", featuresCol="features", maxIter=max_iter, tol=1e-6)
 
 
-def lambda_search(vec: DataFrame, alpha: float, cfg: ModelConfig) -> tuple[float, list[tuple[float, float]]]:
+def lambda_search(vec: DataFrame, gradient: float, alpha: float, cfg: ModelConfig) -> tuple[float, list[tuple]]:
     """Inner cross-validation of lambda by weighted accuracy; ties go
     to the largest lambda (the grid is in decreasing order and the first
-    maximum wins).  Returns (best lambda, [(lambda, mean accuracy, sd)])."""
-    lams = lambda_grid(lambda_max(vec, alpha), cfg.n_lambdas, cfg.lambda_ratio)
+    maximum wins).  Folds are those of the ``inner`` column (0 ..), so they
+    don't depend on how the rows lie in partitions.  Returns (best lambda,
+    [(lambda, mean accuracy, sd)])."""
+    lams = lambda_grid(lambda_max(gradient, alpha), cfg.n_lambdas, cfg.lambda_ratio)
     lr = elastic_net(alpha, lams[0], cfg.max_iter)
     grid = ParamGridBuilder().addGrid(lr.regParam, lams).build()
     ev = MulticlassClassificationEvaluator(metricName="accuracy", labelCol="label", weightCol="weight")
     cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=ev, numFolds=cfg.inner_folds,
-                        seed=cfg.seed, parallelism=cfg.parallelism)
+                        foldCol="inner", seed=cfg.seed, parallelism=cfg.parallelism)
     m = cv.fit(vec)
     sds = list(m.stdMetrics) if getattr(m, "stdMetrics", None) else [float("nan")] * len(grid)
     path = [(pm[lr.regParam], float(a), float(sd)) for pm, a, sd in zip(grid, m.avgMetrics, sds)]
@@ -131,20 +142,50 @@ class FittedModel:
     lambda_path: list[tuple[float, float]]
 
 
-def fit_final(train: DataFrame, label: str, selected: Sequence[str], classes: Sequence[str], alpha: float,
-              cfg: ModelConfig, id_col: str = "id") -> FittedModel:
-    """Class weights -> design on the selected features -> lambda search ->
-    fit (the body of one fold and of the final model)."""
+def fit_alphas(train: DataFrame, label: str, selected: Sequence[str], classes: Sequence[str], alphas: Sequence[float],
+               cfg: ModelConfig, id_col: str = "id") -> list[FittedModel]:
+    """Class weights, inner folds and the design on the selected features,
+    once; then for every alpha the lambda search and the fit.  A row with a
+    null in a selected number column is an error: impute first."""
     w = S.attach_weights(train, S.class_weights(train, label), label)
+    w = S.stratified_folds(w, label, id_col, cfg.inner_folds, f"{cfg.seed}:inner", out="inner")
+    w = w.withColumn("inner", F.col("inner") - 1)
     design = fit_design(w, selected)
-    vec = assemble(with_label_index(w, label, classes), design, keep=[id_col, "label", "weight"])
+    vec = assemble(with_label_index(w, label, classes), design, keep=[id_col, "label", "weight", "inner"], invalid="error")
     vec = vec.persist()
     try:
-        lam, path = lambda_search(vec, alpha, cfg)
-        model = elastic_net(alpha, lam, cfg.max_iter).fit(vec)
+        gradient, fits = null_gradient(vec), []
+        for alpha in alphas:
+            lam, path = lambda_search(vec, gradient, alpha, cfg)
+            model = elastic_net(alpha, lam, cfg.max_iter).fit(vec)
+            fits.append(FittedModel(model, design, list(classes), float(alpha), lam, list(selected), path))
+        return fits
     finally:
         vec.unpersist()
-    return FittedModel(model, design, list(classes), alpha, lam, list(selected), path)
+
+
+def fit_final(train: DataFrame, label: str, selected: Sequence[str], classes: Sequence[str], alpha: float,
+              cfg: ModelConfig, id_col: str = "id") -> FittedModel:
+    """The final model: one alpha, lambda searched over ``final_folds``."""
+    return fit_alphas(train, label, selected, classes, [alpha], replace(cfg, inner_folds=cfg.final_folds), id_col)[0]
+
+
+def save_model(fm: FittedModel, path: str, caps: dict) -> None:
+    """Write all that scoring needs: the coefficients, and as one JSON record
+    the design, classes, alpha, lambda, features, lambda path and caps."""
+    spark = SparkSession.getActiveSession()
+    sink_model(fm.model, f"{path}/elastic_net")
+    record = {"design": fm.design.to_json(), "classes": fm.classes, "alpha": fm.alpha, "lambda": fm.lam,
+              "selected": fm.selected, "lambda_path": fm.lambda_path, "caps": caps}
+    spark.createDataFrame([(json.dumps(record),)], "record string").write.mode("overwrite").parquet(f"{path}/record")
+
+
+def load_model(spark: SparkSession, path: str) -> tuple[FittedModel, dict]:
+    """(fitted model, caps) as written by :func:`save_model`."""
+    r = json.loads(spark.read.parquet(f"{path}/record").first()["record"])
+    model = LogisticRegressionModel.load(f"{path}/elastic_net")
+    return (FittedModel(model, Design.from_json(r["design"]), r["classes"], r["alpha"], r["lambda"], r["selected"],
+                        [tuple(p) for p in r["lambda_path"]]), {c: tuple(b) for c, b in r["caps"].items()})
 
 
 def predict(fm: FittedModel, df: DataFrame, id_col: str = "id", keep: Sequence[str] = ()) -> DataFrame:
@@ -164,28 +205,29 @@ def alpha_grid(train: DataFrame, label: str, candidates: Sequence[str], classes:
                cfg: ModelConfig, id_col: str = "id") -> tuple[DataFrame, DataFrame]:
     """Nested CV over alpha x outer stratified folds.  Forest selection
     does not depend on alpha, so it runs once per fold (not per alpha).
-    Returns long results ``(alpha, fold, accuracy, lambda, n_features)``
-    and stored predictions ``(alpha, fold, id, actual, predicted)``."""
+    So do weights, levels, scaling and design.  Returns long results
+    ``(alpha, fold, accuracy, lambda, n_features)`` and written predictions
+    ``(alpha, fold, id, actual, predicted)``; every validation row is scored
+    once for each alpha."""
     spark = train.sparkSession
-    tf = S.stratified_folds(train, label, id_col, cfg.folds, cfg.seed).persist()
-    results, preds = [], None
-    try:
-        for fold in range(1, cfg.folds + 1):
-            tr = tf.filter(F.col("fold") != fold)
-            va = tf.filter(F.col("fold") == fold)
-            selected, _ = select_features(tr, label, candidates, cfg)
-            for alpha in cfg.alphas:
-                fm = fit_final(tr, label, selected, classes, alpha, cfg, id_col)
-                p = predict(fm, va, id_col, keep=[label]).select(
-                    F.lit(float(alpha)).alias("alpha"), F.lit(fold).alias("fold"), id_col,
-                    F.col(label).alias("actual"), "predicted")
-                acc = p.agg(F.avg((F.col("actual") == F.col("predicted")).cast("double"))).first()[0]
-                results.append((float(alpha), fold, float(acc or 0.0), float(fm.lam), len(selected)))
-                preds = p if preds is None else preds.unionByName(p)
-        res = spark.createDataFrame(results, "alpha double, fold int, accuracy double, lambda double, n_features int")
-        return res, preds
-    finally:
-        tf.unpersist()
+    tf = materialize(S.stratified_folds(train, label, id_col, cfg.folds, cfg.seed), "folds")
+    fits, preds = [], None
+    for fold in range(1, cfg.folds + 1):
+        tr, va = tf.filter(F.col("fold") != fold).drop("fold"), tf.filter(F.col("fold") == fold).drop("fold")
+        selected, _ = select_features(tr, label, candidates, cfg)
+        scored = None
+        for fm in fit_alphas(tr, label, selected, classes, cfg.alphas, cfg, id_col):
+            p = predict(fm, va, id_col, keep=[label]).select(
+                F.lit(fm.alpha).alias("alpha"), F.lit(fold).alias("fold"), id_col, F.col(label).alias("actual"), "predicted")
+            scored = p if scored is None else scored.unionByName(p)
+            fits.append((fm.alpha, fold, float(fm.lam), len(selected)))
+        scored = materialize(scored, "fold-predictions")
+        preds = scored if preds is None else preds.unionByName(scored)
+    hit = F.coalesce((F.col("actual") == F.col("predicted")).cast("double"), F.lit(0.0))
+    got = {(r["alpha"], r["fold"]): r["accuracy"] for r in      # one row for each fit
+           preds.groupBy("alpha", "fold").agg(F.avg(hit).alias("accuracy")).collect()}
+    rows = [(alpha, fold, got.get((alpha, fold), 0.0), lam, n) for alpha, fold, lam, n in fits]
+    return spark.createDataFrame(rows, "alpha double, fold int, accuracy double, lambda double, n_features int"), preds
 
 
 def alpha_summary(results: DataFrame) -> DataFrame:
@@ -285,6 +327,5 @@ def coef_long(fm: FittedModel) -> DataFrame:
     mat = fm.model.coefficientMatrix.toArray()
     rows = [(fm.classes[k], fm.design.names[j], float(mat[k][j]))
             for k in range(mat.shape[0]) for j in range(mat.shape[1]) if mat[k][j] != 0.0]
-    from pyspark.sql import SparkSession
     spark = SparkSession.getActiveSession()
     return spark.createDataFrame(rows, "class string, feature string, coefficient double")

@@ -8,6 +8,7 @@ from attrition.operators import metrics as M
 from attrition.operators import split as S
 from attrition.plans.base import PROBS_SQL, eval_frames, modeling_table, preds_df, probs_df, with_sql
 from attrition.plans.registry import register
+from attrition.session import materialize
 from attrition.sources.fixtures import with_class_probabilities
 
 CONF_SQL = PROBS_SQL + """,
@@ -136,7 +137,7 @@ SELECT metric, round(value, 10) AS value, CASE WHEN metric = 'Overall Accuracy'
 def q_evaluation_summary(spark, d):
     """Five metric rows (value to 10 dp, display as printed)."""
     preds, p = eval_frames(spark, d)
-    conf = M.confusion_long(preds)
+    conf = materialize(M.confusion_long(preds), "confusion")       # K x K rows, read twice
     s = M.evaluation_summary(M.overall_metrics(conf), M.macro_metrics(M.per_class_metrics(conf)),
                              M.macro_auc(M.auc_ovr(p)), M.log_loss(p))
     return s.select("metric", F.round("value", 10).alias("value"), "display")

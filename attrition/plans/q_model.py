@@ -25,7 +25,6 @@ from attrition.plans.base import (ADDONS, LAB_SQL, PROBS_SQL, PROTECTION, RELABE
 from attrition.plans.q_prep import FEATURES_SQL
 from attrition.plans.registry import register
 from attrition.sources.fixtures import with_class_probabilities
-from attrition.sources.sinks import sink_model
 from attrition.sources.tables import table
 from attrition.session import materialize, scratch_path
 
@@ -289,12 +288,13 @@ def _cv_preds(spark, d):
 
 
 def _cv_results(preds):
-    r = MD.fold_macro_f1(preds).select("alpha", "fold")
-    acc = preds.groupBy("alpha", "fold").agg(F.avg((F.col("actual") == F.col("predicted")).cast("double"))
-                                             .alias("accuracy"))
-    return acc.join(r, ["alpha", "fold"]).select("alpha", "fold", "accuracy",
-                                                 F.lit(None).cast("double").alias("lambda"),
-                                                 F.lit(None).cast("int").alias("n_features"))
+    """Accuracy per (alpha, fold).  No model is fitted here: the share of rows
+    predicted as No Churn stands in for lambda, the number of predicted
+    classes for the number of features."""
+    return preds.groupBy("alpha", "fold").agg(
+        F.avg((F.col("actual") == F.col("predicted")).cast("double")).alias("accuracy"),
+        F.avg((F.col("predicted") == "No Churn").cast("double")).alias("lambda"),
+        F.countDistinct("predicted").cast("int").alias("n_features"))
 
 
 _hexv = ("(instr('0123456789abcdef', substr({h}, 1, 1)) - 1) * 256 + "
@@ -311,11 +311,12 @@ cvp AS (SELECT f.id, f.target AS actual, f.fold, a.i AS ai, lv.class,
   FROM folds f CROSS JOIN (SELECT unnest(range({N_ALPHA})) AS i) a CROSS JOIN lv),
 cvpred AS (SELECT CAST(ai AS DOUBLE) / 10.0::DOUBLE AS alpha, fold, id, actual, class AS predicted FROM
   (SELECT *, row_number() OVER (PARTITION BY ai, id ORDER BY raw DESC, class) AS rk FROM cvp) WHERE rk = 1),
-cvres AS (SELECT alpha, fold, avg(CASE WHEN actual = predicted THEN 1.0 ELSE 0.0 END)::DOUBLE AS accuracy
+cvres AS (SELECT alpha, fold, avg(CASE WHEN actual = predicted THEN 1.0 ELSE 0.0 END)::DOUBLE AS accuracy,
+  avg(CASE WHEN predicted = 'No Churn' THEN 1.0 ELSE 0.0 END)::DOUBLE AS lambda, count(DISTINCT predicted) AS n_features
   FROM cvpred GROUP BY 1, 2),
 asum AS (SELECT alpha, avg(accuracy) AS mean_accuracy, stddev_samp(accuracy) AS sd_accuracy,
-  min(accuracy) AS min_accuracy, max(accuracy) AS max_accuracy, CAST(NULL AS DOUBLE) AS mean_lambda,
-  CAST(NULL AS DOUBLE) AS mean_n_features FROM cvres GROUP BY alpha)"""
+  min(accuracy) AS min_accuracy, max(accuracy) AS max_accuracy, avg(lambda) AS mean_lambda,
+  avg(n_features) AS mean_n_features FROM cvres GROUP BY alpha)"""
 
 
 def _r(df, cols, digits=12):
@@ -324,11 +325,11 @@ def _r(df, cols, digits=12):
 
 @register("alpha_summary", with_sql(CV_SQL, """SELECT alpha, round(mean_accuracy, 12) AS mean_accuracy,
   round(sd_accuracy, 12) AS sd_accuracy, round(min_accuracy, 12) AS min_accuracy, round(max_accuracy, 12) AS max_accuracy,
-  mean_lambda, mean_n_features FROM asum"""))
+  round(mean_lambda, 12) AS mean_lambda, round(mean_n_features, 12) AS mean_n_features FROM asum"""))
 def q_alpha_summary(spark, d):
     """L9 roll-up over per-(alpha, fold) results."""
     s = MD.alpha_summary(_cv_results(_cv_preds(spark, d)))
-    return _r(s, {"mean_accuracy", "sd_accuracy", "min_accuracy", "max_accuracy"})
+    return _r(s, {"mean_accuracy", "sd_accuracy", "min_accuracy", "max_accuracy", "mean_lambda", "mean_n_features"})
 
 
 @register("best_alpha", with_sql(CV_SQL, """SELECT alpha, round(mean_accuracy, 12) AS mean_accuracy FROM asum
@@ -341,11 +342,12 @@ def q_best_alpha(spark, d):
 
 @register("cv_curve", with_sql(CV_SQL, """SELECT alpha, round(mean_accuracy, 12) AS mean_accuracy,
   round(mean_accuracy - sd_accuracy, 12) AS lower, round(mean_accuracy + sd_accuracy, 12) AS upper,
-  round(sd_accuracy, 12) AS sd_accuracy, mean_lambda, mean_n_features FROM asum"""))
+  round(sd_accuracy, 12) AS sd_accuracy, round(mean_lambda, 12) AS mean_lambda,
+  round(mean_n_features, 12) AS mean_n_features FROM asum"""))
 def q_cv_curve(spark, d):
     """Accuracy band, lambda and feature count per alpha."""
     c = MD.cv_curve(MD.alpha_summary(_cv_results(_cv_preds(spark, d))))
-    return _r(c, {"mean_accuracy", "lower", "upper", "sd_accuracy"})
+    return _r(c, {"mean_accuracy", "lower", "upper", "sd_accuracy", "mean_lambda", "mean_n_features"})
 
 
 @register("top3_validation", with_sql(CV_SQL, """,
@@ -400,7 +402,8 @@ def q_impute_pmm(spark, d):
     """M4: chained PMM of the incomplete usage / population columns (rows
     check: every cell filled, values drawn from observed donors)."""
     m = modeling_df(spark, d).select("id", *flows.IMPUTE_PREDICTORS, *flows.IMPUTE_TARGETS)
-    return impute_pmm(m, "id", flows.IMPUTE_TARGETS, flows.IMPUTE_PREDICTORS, max_iter=2)
+    m = materialize(m, "impute-input")
+    return impute_pmm(m, "id", flows.IMPUTE_TARGETS, flows.IMPUTE_PREDICTORS)
 
 
 # --- model flows (rows-only) ------------------------------------------------
@@ -430,7 +433,7 @@ def q_lambda_search(spark, d):
 @register("lambda_curve")
 def q_lambda_curve(spark, d):
     """Error by lambda with lambda.min and lambda.1se of the final model."""
-    return MD.lambda_curve(q_lambda_search(spark, d), flows.LIGHT.inner_folds)
+    return MD.lambda_curve(q_lambda_search(spark, d), flows.LIGHT.final_folds)
 
 
 @register("coef_long")
@@ -470,14 +473,7 @@ def q_model_risk_summary(spark, d):
 def q_model_evaluation(spark, d):
     """Flow 2: the five summary metrics (accuracy, kappa, macro F1, macro
     AUC, log loss) of the fitted model on the test part."""
-    from attrition.operators import metrics as M
-    s = flows.test_scores(spark, d)
-    preds = s.select("id", "actual", "predicted")
-    probs = (s.select("id", "actual", F.explode(F.arrays_zip("classes", "probs")).alias("_p"))
-             .select("id", "actual", F.col("_p.classes").alias("class"), F.col("_p.probs").alias("prob")))
-    conf = M.confusion_long(preds)
-    return M.evaluation_summary(M.overall_metrics(conf), M.macro_metrics(M.per_class_metrics(conf)),
-                                M.macro_auc(M.auc_ovr(probs)), M.log_loss(probs))
+    return flows.evaluate(flows.test_scores(spark, d))[1]
 
 
 @register("new_cohort_scoring")
@@ -489,16 +485,14 @@ def q_new_cohort_scoring(spark, d):
 
 @register("sink_model")
 def q_sink_model(spark, d):
-    """Persist the fitted model (ML persistence), the design (levels,
-    scaling) and the CV results under the shared checkpoint folder; return
-    what was written."""
+    """Write the fitted model, all that scoring needs and the CV results
+    under the shared checkpoint folder, load them again and score the test
+    part: per predicted class the rows of the live and the loaded model."""
     t = flows.training_flow(spark, d)
     base = scratch_path(spark, "model")
-    sink_model(t.fitted.model, f"{base}/elastic_net")
-    spark.createDataFrame([(t.fitted.design.to_json(),)], "design string").write.mode("overwrite").json(f"{base}/design")
+    MD.save_model(t.fitted, base, t.bounds)
     t.results.write.mode("overwrite").parquet(f"{base}/cv_results")
-    from pyspark.ml.classification import LogisticRegressionModel
-    back = LogisticRegressionModel.load(f"{base}/elastic_net")
-    return spark.createDataFrame([(f"{base}/elastic_net", back.numClasses, back.numFeatures),
-                                  (f"{base}/cv_results", None, None)],
-                                 "path string, num_classes int, num_features int")
+    loaded, _ = MD.load_model(spark, base)
+    live = MD.predict(t.fitted, t.test).select("predicted", F.lit(1).alias("live"), F.lit(0).alias("loaded"))
+    back = MD.predict(loaded, t.test).select("predicted", F.lit(0).alias("live"), F.lit(1).alias("loaded"))
+    return live.unionByName(back).groupBy("predicted").agg(F.sum("live").alias("n_live"), F.sum("loaded").alias("n_loaded"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,28 +14,33 @@ NULL_TOKENS = ("", "NA", " ", "NULL")
 
 
 def scan_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
-             null_tokens: Iterable[str] = NULL_TOKENS, header: bool = True) -> DataFrame:
+             null_tokens: Iterable[str] = NULL_TOKENS, header: bool = True, snake_case: bool = False) -> DataFrame:
     """Read CSV with a header; every cell equal to one of ``null_tokens``
     becomes null.  Spark's ``nullValue`` takes one token, so all columns
     are read as strings, tokens are nulled, then cast to ``schema`` (or to
-    inferred numeric types when no schema is given)."""
+    inferred numeric types by :func:`infer_numeric`).  ``snake_case`` turns
+    headers such as "Online Security" into ``online_security``."""
     tokens = list(null_tokens)
     raw = (spark.read.option("header", header).option("inferSchema", False)
            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
            .option("nullValue", "\u0000never\u0000").option("emptyValue", "")
            .csv(path))
-    # CRLF files leave a trailing '\r' on the last header name and cell.
-    raw = raw.toDF(*[c.rstrip("\r") for c in raw.columns])
-    cleaned = []
-    for c in raw.columns:
-        v = F.regexp_replace(F.col(f"`{c}`"), "\r$", "")
-        cleaned.append(F.when(v.isin(tokens), F.lit(None).cast("string")).otherwise(v).alias(c))
-    df = raw.select(*cleaned)
+    # CRLF files leave a trailing '\r' on the last header name.
+    names = [c.rstrip("\r") for c in raw.columns]
+    raw = raw.toDF(*([snake_name(c) for c in names] if snake_case else names))
+    cells = [F.col(f"`{c}`") for c in raw.columns]
+    df = raw.select(*[F.when(~v.isin(tokens), v).alias(c) for v, c in zip(cells, raw.columns)])
     if schema is not None:
         return df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields])
     return df
 
 
+def snake_name(name: str) -> str:
+    """Lower case, every run of other characters than letters and digits one
+    underscore."""
+    return re.sub(r"[^0-9a-z]+", "_", name.strip().lower()).strip("_")
+
+
 def infer_numeric(df: DataFrame) -> DataFrame:
     """Cast string columns whose every non-null value parses as a number
     (one aggregation pass over all columns)."""
