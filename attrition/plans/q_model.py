@@ -312,10 +312,10 @@ cvp AS (SELECT f.id, f.target AS actual, f.fold, a.i AS ai, lv.class,
 cvpred AS (SELECT CAST(ai AS DOUBLE) / 10.0::DOUBLE AS alpha, fold, id, actual, class AS predicted FROM
   (SELECT *, row_number() OVER (PARTITION BY ai, id ORDER BY raw DESC, class) AS rk FROM cvp) WHERE rk = 1),
 cvres AS (SELECT alpha, fold, avg(CASE WHEN actual = predicted THEN 1.0 ELSE 0.0 END)::DOUBLE AS accuracy,
-  avg(CASE WHEN predicted = 'No Churn' THEN 1.0 ELSE 0.0 END)::DOUBLE AS lambda, count(DISTINCT predicted) AS n_features
+  avg(CASE WHEN predicted = 'No Churn' THEN 1.0 ELSE 0.0 END)::DOUBLE AS "lambda", count(DISTINCT predicted) AS n_features
   FROM cvpred GROUP BY 1, 2),
 asum AS (SELECT alpha, avg(accuracy) AS mean_accuracy, stddev_samp(accuracy) AS sd_accuracy,
-  min(accuracy) AS min_accuracy, max(accuracy) AS max_accuracy, avg(lambda) AS mean_lambda,
+  min(accuracy) AS min_accuracy, max(accuracy) AS max_accuracy, avg("lambda") AS mean_lambda,
   avg(n_features) AS mean_n_features FROM cvres GROUP BY alpha)"""
 
 
