@@ -50,7 +50,9 @@ class Roles:
     """Which columns of a customer table play which part; the defaults are the
     headers of the analysis' own table in snake_case.  Of ``targets``,
     ``predictors`` and ``caps`` None means: number columns with nulls, those
-    without, and all of them (identifiers and labels left out)."""
+    without, and all of them (identifiers and labels left out).  Columns that
+    play no part and are null in more than ``sparse_pct`` percent of the rows
+    are dropped (None: all stay)."""
     id: str = "customer_id"
     status: str = "customer_status"
     reason: str = "churn_category"
@@ -71,15 +73,23 @@ class Roles:
     caps: tuple | None = None
     exclude: tuple = ("customer_id", "target", "customer_status", "churn_category", "churn_reason", "churn_label", "zip_code")
     payment_rule: tuple = field(default=PAYMENT_RULE)
+    sparse_pct: float | None = 50.0
+
+    def named(self) -> set[str]:
+        return {self.id, self.status, self.reason, self.tenure, self.charge, self.total, self.age, self.contract,
+                self.payment, self.phone, self.lines, "target", *self.addons, *self.streaming, *self.protection,
+                *(self.targets or ()), *(self.predictors or ()), *(self.caps or ())}
 
 
 SNAP_ROLES = Roles(id="id", status="status", tenure="tenure", charge="charge", payment="payment", phone=PHONE, lines=LINES,
                    addons=ADDONS, streaming=STREAMING, protection=PROTECTION, targets=IMPUTE_TARGETS,
-                   predictors=IMPUTE_PREDICTORS, caps=CAP_COLS, exclude=EXCLUDE, payment_rule=SNAP_PAYMENT_RULE)
+                   predictors=IMPUTE_PREDICTORS, caps=CAP_COLS, exclude=EXCLUDE, payment_rule=SNAP_PAYMENT_RULE, sparse_pct=None)
 
 # Small grid of the registered queries; ModelConfig() is the whole one.
 LIGHT = MD.ModelConfig(alphas=(0.0, 1.0), folds=2, inner_folds=2, final_folds=2, n_lambdas=3, max_iter=30,
                        num_trees=20, parallelism=4)
+# Imputation rounds of the registered model queries; elsewhere five.
+LIGHT_ITERATIONS = 2
 
 
 def read_customers(spark: SparkSession, customers: str, zip_codes: str | None = None, roles: Roles = Roles()) -> DataFrame:
@@ -151,7 +161,10 @@ def train(customers: DataFrame, cfg: MD.ModelConfig = MD.ModelConfig(), roles: R
           impute_iter: int = 5) -> Training:
     """Flow 1 on any customer table."""
     lab = L.labeled(customers, roles.status, roles.reason)
-    prepared, bounds = prepare(C.drop_sparse_columns(materialize(L.cohort_model(lab), "cohort")), None, impute_iter, roles)
+    cohort = materialize(L.cohort_model(lab), "cohort")
+    if roles.sparse_pct is not None:
+        cohort = cohort.drop(*[c for c in C.sparse_columns(cohort, roles.sparse_pct) if c not in roles.named()])
+    prepared, bounds = prepare(cohort, None, impute_iter, roles)
     prepared = materialize(C.drop_single_level(prepared), "prepared")
     many = too_many_labels(prepared, cfg.max_levels)
     if many:
@@ -181,7 +194,7 @@ def training_flow(spark: SparkSession, sf_dir: str, cfg: MD.ModelConfig = LIGHT)
     """Flow 1 on the snapshot of the given tables, once per application."""
     key = (spark.sparkContext.applicationId, sf_dir, repr(cfg))
     if key not in _CACHE:
-        _CACHE[key] = train(snap(spark, sf_dir), cfg, SNAP_ROLES)
+        _CACHE[key] = train(snap(spark, sf_dir), cfg, SNAP_ROLES, LIGHT_ITERATIONS)
     return _CACHE[key]
 
 
@@ -210,7 +223,7 @@ def test_scores(spark: SparkSession, sf_dir: str, cfg: MD.ModelConfig = LIGHT) -
 
 
 def new_cohort_scores(spark: SparkSession, sf_dir: str, cfg: MD.ModelConfig = LIGHT) -> DataFrame:
-    return score_new(training_flow(spark, sf_dir, cfg))
+    return score_new(training_flow(spark, sf_dir, cfg), LIGHT_ITERATIONS)
 
 
 def evaluate(scores: DataFrame, id_col: str = "id") -> tuple[DataFrame, DataFrame]:
