@@ -258,6 +258,17 @@ def test_pii(spark, empty):
     assert P.detect(empty).count() == 0 and P.mask(empty).count() == 0
 
 
+def test_base_spans_are_the_patterns_matches():
+    from attrition.llm import pii as P
+    rng = random.Random(6)
+    for _ in range(3000):
+        text = "".join(rng.choices("a1@._-9 +", [4, 4, 4, 6, 1, 1, 2, 1, 1], k=rng.randint(0, 40)))
+        assert list(P.emails(text)) == [m.span() for m in P.BASE["email"].finditer(text)], text
+        assert [m.span() for m in P.WHOLE_IP.finditer(text)] == [m.span() for m in P.BASE["ip"].finditer(text)], text
+    long = "a1" * 400_000 + " a@b.c " + "7" * 400_000 + "@"     # one long word, one long number
+    assert P.base_spans(long) == [("email", 800_001, 800_006)]
+
+
 def test_viterbi_is_best():
     from attrition.llm.pii import viterbi
     rng = np.random.default_rng(0)
