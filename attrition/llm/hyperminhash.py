@@ -13,7 +13,8 @@ smallest id of its buckets, and the verified links are joined into components.
 Only buckets that still hold several components are looked at again, and there
 only texts of different components are compared, in numpy: first each proposes
 its likeliest partners; what these links have not joined proposes every partner
-that passes the estimate and a comparison of the sets.  Texts with the same
+that passes the estimate and a comparison of the sets.  A large bucket is cut
+into slices, and a task compares two of them, so none holds a whole bucket.  Texts with the same
 words are one text throughout.
 
 Nulls, empty texts and texts without words have an empty set and link with
@@ -44,6 +45,9 @@ LEAST = -(1 << 63)
 #: Partners that a text proposes in a bucket, round by round; at last all
 #: whose sets pass.
 PROPOSED = (2, None)
+#: Most rows, and bytes of registers and sets, that a slice of a bucket has on
+#: average; a task compares two slices.
+SLICE_ROWS, SLICE_BYTES = 4096, 64 << 20
 
 
 def word_sets(data: np.ndarray, offsets: np.ndarray, words: int):
@@ -197,21 +201,22 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def cross_pairs(table: pa.Table, least: float, part: int, whole: int, most: int | None) -> pa.Table:
-    """Pairs of one bucket's texts, of different components, that may reach
-    the similarity by their sizes and whose estimate is at least ``least``.
-    Every text outside the largest component is held against all texts of
-    other components and proposes its ``most`` likeliest partners.  With None
+    """Pairs of texts of a bucket (or of two of its slices), of different
+    components, that may reach the similarity by their sizes and whose
+    estimate is at least ``least``.  Every text marked ``asks`` is held against
+    all texts of other components marked ``answers`` and proposes its ``most``
+    likeliest partners.  With None
     it proposes all whose sets (``small``, 32 bits of each shingle hash) reach
     the similarity, a pair only in the first band that its texts share."""
     node, comp, n = table["node"].to_numpy(), table["component"].to_numpy(), table["n_shingles"].to_numpy()
     regs = np.stack([np.frombuffer(r, np.uint16) for r in table["registers"].to_pylist()])
-    names, where, size = np.unique(comp, return_inverse=True, return_counts=True)
+    asks, answers = (table[c].to_numpy().astype(bool) for c in ("asks", "answers"))
     bands, a, b = regs[:, :BANDS * ROWS].copy().view(np.uint64), [], []
     if most is None:
         band = int(table["band"][0].as_py())
         sets = [np.frombuffer(x, np.uint32) for x in table["small"].to_pylist()]
-    for i in np.flatnonzero(where != size.argmax()):
-        others = np.flatnonzero((where != where[i]) & (part * np.maximum(n, n[i]) <= whole * np.minimum(n, n[i])))
+    for i in np.flatnonzero(asks):
+        others = np.flatnonzero(answers & (comp != comp[i]) & (part * np.maximum(n, n[i]) <= whole * np.minimum(n, n[i])))
         found = [(estimate((regs[o] == regs[i]).mean(1)), o) for o in np.split(others, range(4096, len(others), 4096))]
         likely, others = np.concatenate([f for f, _ in found]), np.concatenate([o for _, o in found])
         hit = np.flatnonzero(likely >= least)
@@ -228,6 +233,32 @@ def cross_pairs(table: pa.Table, least: float, part: int, whole: int, most: int
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def sliced(held: DataFrame, slice_rows: int, slice_bytes: int) -> DataFrame:
+    """The rows of ``held`` (key, node, component, n_shingles) with the pairs
+    of slices (``i``, ``j``) that they take part in.  Texts outside a bucket's
+    largest component ask, all texts answer; slice i of those that ask meets
+    slice j of those that answer, so every pair of different components meets.
+    A bucket of one slice is one group, each row in it once."""
+    weight = F.lit(2 * BUCKETS) + 4 * F.col("n_shingles")
+    part = held.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum(weight).alias("w"))
+    size = part.groupBy("key").agg(F.max(F.struct("n", "component", "w")).alias("big"), F.sum("n").alias("n"), F.sum("w").alias("w"))
+
+    def slices(n, w):
+        return F.greatest(F.lit(1), F.ceil(n / slice_rows), F.ceil(w / slice_bytes)).cast("int")
+
+    size = size.select("key", F.col("big.component").alias("largest"), slices(F.col("n"), F.col("w")).alias("n_answer"),
+                       slices(F.col("n") - F.col("big.n"), F.col("w") - F.col("big.w")).alias("n_ask"))
+    rows = held.join(size, "key").withColumn("_ask", F.col("component") != F.col("largest"))
+    rows = (rows.withColumn("_i", F.pmod(F.xxhash64("node", F.lit(1)), "n_ask").cast("int"))
+            .withColumn("_j", F.pmod(F.xxhash64("node", F.lit(2)), "n_answer").cast("int")))
+    answer = F.transform(F.sequence(F.lit(0), F.col("n_ask") - 1), lambda i: F.struct(
+        i.alias("i"), F.col("_j").alias("j"), (F.col("_ask") & (i == F.col("_i"))).alias("asks"), F.lit(True).alias("answers")))
+    other = F.filter(F.sequence(F.lit(0), F.col("n_answer") - 1), lambda j: F.col("_ask") & (j != F.col("_j")))
+    ask = F.transform(other, lambda j: F.struct(
+        F.col("_i").alias("i"), j.alias("j"), F.lit(True).alias("asks"), F.lit(False).alias("answers")))
+    return rows.withColumn("_at", F.explode(F.concat(answer, ask))).select(*held.columns, "_at.*")
+
+
 def _small_sets(words: int):
     """(node, 32 bits of each shingle hash, in order).  Different shingles
     with equal bits count once for each, so a link is never lost."""
@@ -244,7 +275,8 @@ def _proposing(least: float, part: int, whole: int, most: int | None):
     return run
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, part: int = 80, whole: int = 100) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, part: int = 80, whole: int = 100, slice_rows: int = SLICE_ROWS,
+                    slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """node (the id), n_shingles, component and s1 and s2 (hashes of the words)
     of each row; the component is the smallest id that links lead to."""
     least = part / whole - MARGIN
@@ -270,11 +302,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, part: int = 80, whole: int
     for most in PROPOSED:
         named = buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-        held = named.join(mixed.select("key"), "key").join(regs, "node")
+        mixed = materialize(named.join(mixed.select("key"), "key").join(rep.select("node", "n_shingles"), "node"), "mixed")
+        held = sliced(mixed, slice_rows, slice_bytes).join(rep.select("node", "registers"), "node")
         if most is None:
-            texts = needed_texts(docs, materialize(held.select("node").distinct(), "nodes"))
+            texts = needed_texts(docs, materialize(mixed.select("node").distinct(), "nodes"))
             held = held.join(texts.mapInArrow(_small_sets(words), "node long, small binary"), "node")
-        again = (held.groupBy("key")
+        again = (held.groupBy("key", "i", "j")
                  .applyInArrow(_proposing(least, part, whole, most), "a long, b long"))
         fresh = materialize(again.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         if fresh.isEmpty():

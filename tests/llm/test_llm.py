@@ -239,6 +239,23 @@ def test_near_duplicates(docs, empty, rows):
     got = {r["node"]: (r["n_shingles"], r["component"]) for r in H.near_duplicates(docs, 4).collect()}
     assert got == {i: (len(s), find(i)) for i, s in sets.items()}
     assert H.near_duplicates(empty, 4).count() == 0
+    cut = H.near_duplicates(docs, 4, slice_rows=2, slice_bytes=4096)        # every bucket in several slices
+    assert {r["node"]: (r["n_shingles"], r["component"]) for r in cut.collect()} == got
+
+
+def test_slices_meet_for_every_pair(spark):
+    from attrition.llm import hyperminhash as H
+    held = [(k, n, n % 7 if n % 3 else 0, 5) for k in (1, 2) for n in range(40 * k)] + [(3, 1, 1, 5), (3, 2, 2, 5)]
+    df = spark.createDataFrame(held, "key long, node long, component long, n_shingles long")
+    for rows, most in ((4096, 80), (9, 40)):
+        groups = {}
+        for r in H.sliced(df, rows, 1 << 20).collect():
+            groups.setdefault((r["key"], r["i"], r["j"]), []).append(r)
+        met = {(k, frozenset((a["node"], b["node"]))) for (k, _, _), g in groups.items() for a in g for b in g
+               if a["asks"] and b["answers"] and a["component"] != b["component"]}
+        assert met == {(a[0], frozenset((a[1], b[1]))) for a in held for b in held if a[0] == b[0] and a[2] != b[2]}
+        assert max(map(len, groups.values())) <= most
+        assert rows < 4096 or sum(map(len, groups.values())) == len(held)
 
 
 def test_pii(spark, empty):
