@@ -9,7 +9,10 @@ shards.  A segment whose core nobody shares is unique, and a segment that
 occurs twice byte for byte is repeated whole.  What is left, the distinct
 segments that share a core with others, is sorted by external induced sorting
 (``induced_sort``): suffixes with a common prefix of a window's length mark
-repeated windows.
+repeated windows.  Where the distinct segments of one core are more than
+``SHARD_BYTES`` (a short passage in many documents, with other words around
+it), their windows are dealt on by the hash of the whole window: no task holds
+such a core's segments, and a window that two of them have is repeated.
 
 Each block of documents asks about each distinct segment once, so a passage
 that a third of the corpus holds is one entry per block; bytes are sent for one
@@ -23,24 +26,27 @@ empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from attrition.llm.blocks import MESSAGE, answered, answers, blocked, cuts, documents_of, messages, table
+from attrition.llm.blocks import MESSAGE, answered, answers, blocked, cuts, documents_of, messages, table, unpack
 from attrition.llm.common import WordHasher, mix64, rolling, row_blocks
 from attrition.llm.induced_sort import repeated
 
 WINDOW, GRAM, STRETCH = 400, 32, 128
 #: Bytes of text whose hashes are looked at together.
 SCAN_BYTES = 1 << 19
-#: Bytes of segments sorted at a time; groups of one hash are never parted.
+#: Bytes of segments sorted at a time; a core with more is dealt by windows.
 SHARD_BYTES = 1 << 20
 BASE, OTHER_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text binary"
 SEGMENT = "shard long, hash long, block long, entry long, whole long, bytes binary"
 FOUND = "block long, entry long, payload binary"
+#: In place of an entry: the payload is bits of what is repeated whole, or codes of dealt windows.
+NOTE, DEALT = -1, -2
 
 
 def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
@@ -127,12 +133,13 @@ def _hasher(base: int) -> WordHasher:
     return _HASHERS.setdefault(base, WordHasher(base))
 
 
-WHOLE, SORT = 1, 2      # an answer's bits: repeated whole, and to be sorted (bytes wanted)
+WHOLE, SORT, DEAL = 1, 2, 4      # an answer's bits: repeated whole, to be sorted (bytes wanted), to be dealt by windows
 
 
-def judge(block, least, s1, s2, many) -> np.ndarray:
+def judge(block, least, s1, s2, many, most: int = SHARD_BYTES // (WINDOW + STRETCH)) -> np.ndarray:
     """Of each entry: does its segment occur twice, does its hash have other
-    segments, and is this block the one to send it."""
+    segments (more than ``most``: they are dealt), and is this block the one
+    to send it."""
     order = np.lexsort((block, s2, s1, least))
     a, b = order[1:], order[:-1]
     group = np.ones(len(order), bool)
@@ -142,12 +149,59 @@ def judge(block, least, s1, s2, many) -> np.ndarray:
     number, bundle = np.cumsum(new) - 1, np.cumsum(group) - 1
     copies = np.bincount(number) > 1
     copies |= np.bincount(number, many[order]) > 0
-    distinct = np.bincount(bundle[new]) > 1
+    distinct = np.bincount(bundle[new])
     out = np.zeros(len(order), np.uint8)
-    out[order] = WHOLE * copies[number] + SORT * (new & distinct[bundle])
+    out[order] = WHOLE * copies[number] + new * np.where(distinct > most, DEAL, SORT * (distinct > 1))[bundle]
     return out
 
 
+def dealt(s: Segments, entries: np.ndarray, window: int):
+    """(hash, further hash, whether the block has it again, code) of the
+    distinct windows of the entries, by hash; codes of the windows that the
+    block itself has again.  A code is entry * STRETCH + place in it."""
+    number = s.windows[s.head[entries]]
+    place = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
+    code = np.repeat(entries, number) * STRETCH + place
+    start = np.repeat(s.start[s.head[entries]], number) + place
+    order = np.argsort(start, kind="stable")
+    code, start = code[order], start[order]
+    w1, w2 = np.zeros(len(start), np.uint64), np.zeros(len(start), np.uint64)
+    text_of = np.searchsorted(s.offsets, start, side="right") - 1
+    for i, j in row_blocks(s.offsets, SCAN_BYTES):
+        own = slice(*np.searchsorted(text_of, [i, j]))
+        if own.start < own.stop:
+            low = s.offsets[i]
+            for base, out in ((BASE, w1), (OTHER_BASE, w2)):
+                hasher = _hasher(base)
+                total = hasher.sums(s.data[low:s.offsets[j]])
+                out[own] = hasher.between(total, start[own] - low, start[own] - low + window)
+    w2 = (w2 >> np.uint64(32)).astype(np.uint32)
+    order = np.lexsort((w2, w1))
+    w1, w2, code = w1[order], w2[order], code[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])
+    again = (np.bincount(np.cumsum(new) - 1) > 1) if len(new) else new
+    return (w1[new], w2[new], again.astype(np.uint8), code[new]), code[np.repeat(again, np.diff(np.flatnonzero(np.append(new, True))))]
+
+
+def settle(rows: pa.Table) -> pa.Table:
+    """Windows dealt to one part that two blocks have, or that one has twice."""
+    rows = [(b, *unpack(raw, n, "u8", "u4", "u1", "i8")) for b, n, raw in
+            zip(rows["block"].to_pylist(), rows["entry"].to_pylist(), rows["bytes"].to_pylist())]
+    w1, w2, many = (np.concatenate([r[k] for r in rows]) for k in (1, 2, 3))
+    order = np.lexsort((w2, w1))
+    a, b = order[1:], order[:-1]
+    new = np.ones(len(order), bool)
+    new[1:] = (w1[a] != w1[b]) | (w2[a] != w2[b])
+    number = np.cumsum(new) - 1
+    twice = (np.bincount(number) > 1) | (np.bincount(number, many[order]) > 0)
+    found = np.zeros(len(order), bool)
+    found[order] = twice[number]
+    ends = np.cumsum([len(r[1]) for r in rows])
+    return table([(r[0], DEALT, r[4][found[e - len(r[1]):e]].tobytes()) for r, e in zip(rows, ends)
+                  if found[e - len(r[1]):e].any()], FOUND)
+
+
 def sort_shard(rows: pa.Table, window: int) -> pa.Table:
     """Repeated windows of the segments of a shard that are not repeated
     whole; whole hashes' groups are sorted together, up to ``SHARD_BYTES``."""
@@ -167,10 +221,12 @@ def sort_shard(rows: pa.Table, window: int) -> pa.Table:
     return table(out, FOUND)
 
 
-def deduplicate(docs: DataFrame, with_text: bool = False, window: int = WINDOW) -> DataFrame:
+def deduplicate(docs: DataFrame, with_text: bool = False, window: int = WINDOW,
+                shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row per document: bytes, bytes removed, runs of removed bytes, and
     the kept bytes (their SHA-256 and, if asked for, the bytes)."""
     rows, n = blocked(docs)
+    judged = partial(judge, most=shard_bytes // (window + STRETCH))
 
     def ask(part: pa.Table) -> pa.Table:
         s = Segments(part, window)
@@ -188,27 +244,37 @@ def deduplicate(docs: DataFrame, with_text: bool = False, window: int = WINDOW)
             a = int(s.start[s.head[e]])
             raw = s.data[a:a + int(s.windows[s.head[e]]) + window - 1].tobytes()
             out.append((int(shard[e]), int(s.least[e].view(np.int64)), block, e, int(got[e] & WHOLE), raw))
-        # what is repeated whole, as a note to itself
-        out.append((-1 - block, 0, block, -1, 0, np.packbits(got & WHOLE).tobytes()))
+        arrays, again = dealt(s, np.flatnonzero(got & DEAL), window)
+        # the windows' parts come after the shards
+        out += [(n + p, 0, block, k, 0, raw) for p, _, k, raw in messages(block, n, *arrays)]
+        # what is repeated whole and in the block itself, as notes to itself
+        out.append((-1 - block, 0, block, NOTE, 0, np.packbits(got & WHOLE).tobytes()))
+        out.append((-1 - block, 0, block, DEALT, 0, again.tobytes()))
         return table(out, SEGMENT)
 
     def sort(part: pa.Table) -> pa.Table:
         if part["shard"][0].as_py() < 0:
             return part.select(["block", "entry", "bytes"]).rename_columns(["block", "entry", "payload"])
-        return sort_shard(part, window)
+        return settle(part) if part["shard"][0].as_py() >= n else sort_shard(part, window)
 
     def remove(key, part: pa.Table, found: pa.Table) -> pa.Table:
         if not part.num_rows:
             return _result([], [], [], [], [], [])
         s = Segments(part, window)
         whole, partly = np.zeros(len(s.head), bool), {}
+        change = np.zeros(len(s.data) + 1, np.int32)
         for entry, payload in zip(found["entry"].to_pylist(), found["payload"].to_pylist()):
+            if entry == DEALT:
+                code = np.frombuffer(payload, np.int64)
+                at = s.start[s.head[code // STRETCH]] + code % STRETCH
+                np.add.at(change, at, 1)
+                np.add.at(change, at + window, -1)
+                continue
             bits = np.unpackbits(np.frombuffer(payload, np.uint8)).astype(bool)
-            if entry < 0:
+            if entry == NOTE:
                 whole = bits[:len(s.head)]
             else:
                 partly[entry] = bits
-        change = np.zeros(len(s.data) + 1, np.int32)
         own = np.flatnonzero(whole[s.entry])
         np.add.at(change, s.start[own], 1)
         np.add.at(change, s.start[own] + s.windows[own] + window - 1, -1)
@@ -219,7 +285,7 @@ def deduplicate(docs: DataFrame, with_text: bool = False, window: int = WINDOW)
         return _kept(s, np.cumsum(change)[:-1] > 0, with_text)
 
     asked = rows.groupBy("block").applyInArrow(ask, MESSAGE)
-    replies = answers(asked, judge, ("u8", "u8", "u4", "u1"))
+    replies = answers(asked, judged, ("u8", "u8", "u4", "u1"))
     sent = rows.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(send, SEGMENT)
     found = sent.groupBy("shard").applyInArrow(sort, FOUND)
     out = rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(remove, SCHEMA)

@@ -109,6 +109,36 @@ def test_suffix_array_dedup(docs, empty, rows):
     assert D.deduplicate(empty).count() == 0
 
 
+def test_suffix_array_core_of_many_segments(spark):
+    from attrition.llm import suffix_dedup as D
+    from attrition.llm.common import find_modules
+    many = 3000     # distinct segments of one core
+    ones = np.ones(many, np.uint64)
+    out = D.judge(np.arange(many), ones, np.arange(many, dtype=np.uint64), ones.astype(np.uint32), np.zeros(many, np.uint8))
+    assert not (out & D.SORT).any() and (out == D.DEAL).all()       # no shard takes them all
+    rng = random.Random(11)
+    passage = words(rng, 100)[:330]
+    texts = [words(rng, 40) + passage + words(rng, 40) for _ in range(60)]
+    # with the passage, windows that two documents have and segments that differ
+    texts += [words(rng, 25) + texts[k][-390 - 30 * k:] for k in range(8)] + [texts[k][:400 + 20 * k] + words(rng, 25) for k in range(8)]
+    texts += [texts[9], texts[9], None, passage]
+    df = find_modules(spark).createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    raws, seen = [(t or "").encode() for t in texts], Counter()
+    for t in raws:
+        seen.update(t[i:i + 400] for i in range(len(t) - 399))
+    want = {}
+    for i, t in enumerate(raws):
+        gone = np.zeros(len(t), bool)
+        for k in range(len(t) - 399):
+            if seen[t[k:k + 400]] > 1:
+                gone[k:k + 400] = True
+        want[i] = (int(gone.sum()), hashlib.sha256(np.frombuffer(t, np.uint8)[~gone].tobytes()).hexdigest())
+    assert sum(w[0] for w in want.values()) > 5000
+    for most in (1 << 20, 1 << 12, 0):      # none, some and all cores dealt by windows
+        got = {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in D.deduplicate(df, shard_bytes=most).collect()}
+        assert got == want
+
+
 def test_difference_cover_dedup(docs, empty, rows):
     from attrition.llm import substring_dedup as D
     assert all(any((i + s) % D.PERIOD in D.COVER and (j + s) % D.PERIOD in D.COVER for s in range(D.PERIOD))
