@@ -55,7 +55,8 @@ def license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op4_simhash")
 def simhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and its edited text; for ids divisible
-    by 100, how many other documents lie within the Hamming radius."""
+    by 100, how many other documents lie within the Hamming radius that a
+    similarity of 0.8 takes."""
     found = materialize(simhash.fingerprinted(documents(spark, sf_dir)), "simhash")
     asked = F.coalesce(F.col("doc_id") % 100 == 0, F.lit(False))
     near = simhash.near_counts(found, asked)

@@ -4,9 +4,13 @@ A text's terms are its word shingles (a text of fewer words is one term),
 weighted by how often they occur.  Every term's hash votes on each bit of the
 fingerprint, plus or minus its weight; the sign of the sum is the bit.
 
-For the search within a Hamming radius r the fingerprint is cut into blocks:
-two fingerprints within r agree in all but r blocks, so a table for each choice
-of agreeing blocks, keyed by their bits, holds every partner.
+For the search within a small Hamming radius r the fingerprint is cut into
+blocks: two fingerprints within r agree in all but r blocks, so a table for each
+choice of agreeing blocks, keyed by their bits, holds every partner.  Texts of a
+Jaccard similarity of 0.8 differ in up to about 27 of the 128 bits; at that
+radius only blocks of 4 bits agree for certain, whose tables hold nearly all
+pairs.  The near counts therefore compare every query fingerprint with every
+fingerprint, chunk by chunk, and miss none within the radius.
 
 Nulls and empty texts have no terms and the fingerprint of all zero bits.
 Equal texts have equal fingerprints.  Documents follow each other by doc_id,
@@ -18,6 +22,7 @@ next.
 from __future__ import annotations
 
 import hashlib
+import math
 from itertools import combinations
 
 import numpy as np
@@ -32,6 +37,10 @@ from attrition.llm.common import LOWER, SPACE, WordHasher, mix64, powers, rollin
 from attrition.session import materialize
 
 BITS, WORDS, RADIUS, BLOCKS = 128, 5, 3, 4
+#: Similarity that the near counts are to find, and the radius they take for it.
+SIMILARITY, NEAR_RADIUS = 0.8, 27
+#: Fingerprints in a chunk of the queries and of all, and chunks of the queries at least.
+ASKED_CHUNK, CHUNK, ASKED_CHUNKS = 4096, 1 << 16, 4
 #: Bytes of text fingerprinted at a time.
 TEXT_BYTES = 1 << 20
 
@@ -182,13 +191,50 @@ def within(queries: DataFrame, corpus: DataFrame, radius: int = RADIUS, blocks:
     return keyed(corpus).join(q, "key").where(distance <= radius).select("qhi", "qlo", "hi", "lo").distinct()
 
 
+def chunks(df: DataFrame, n: int, number: str) -> DataFrame:
+    """The fingerprints (columns hi, lo, n) in ``n`` packed chunks."""
+
+    def pack(part: pa.Table) -> pa.Table:
+        return pa.table({number: part[number].slice(0, 1).cast(pa.int32()),
+                         "packed": pa.array([b"".join(part[c].to_numpy().tobytes() for c in ("hi", "lo", "n"))], pa.binary())})
+
+    dealt = df.select("hi", "lo", "n", F.pmod(F.xxhash64("hi", "lo"), F.lit(n)).cast("int").alias(number))
+    return dealt.groupBy(number).applyInArrow(pack, f"{number} int, packed binary")
+
+
+def scan(queries: DataFrame, corpus: DataFrame, radius: int = NEAR_RADIUS) -> DataFrame:
+    """(qhi, qlo, n): of each query fingerprint, the sum of n over the
+    fingerprints of the corpus within the radius, by comparing all.  Both
+    sides have one row (hi, lo, n) per distinct fingerprint."""
+    width = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_asked = max(ASKED_CHUNKS, math.ceil(queries.count() / ASKED_CHUNK))
+    n = max(width, math.ceil(corpus.count() / CHUNK))
+
+    def compare_chunks(batches):
+        for batch in batches:
+            for asked, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                q, x = (np.frombuffer(raw, np.int64).reshape(3, -1) for raw in (asked, held))
+                total = np.zeros(q.shape[1], np.int64)
+                for i, (hi, lo) in enumerate(q[:2].T.view(np.uint64)):
+                    # np.bitwise_count takes the absolute value of signed numbers
+                    distance = np.bitwise_count(x[0].view(np.uint64) ^ hi) + np.bitwise_count(x[1].view(np.uint64) ^ lo)
+                    total[i] = x[2][distance <= radius].sum()
+                some = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(c[some]) for c in (q[0], q[1], total)], names=["qhi", "qlo", "n"])
+
+    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("chunk")
+    asked = chunks(queries, n_asked, "asked").select(F.col("packed").alias("asked_packed"), every)
+    pairs = asked.join(chunks(corpus, n, "chunk"), "chunk").select("asked_packed", "packed")
+    found = pairs.mapInArrow(compare_chunks, "qhi long, qlo long, n long")
+    return found.groupBy("qhi", "qlo").agg(F.sum("n").alias("n"))
+
+
 def near_counts(found: DataFrame, is_query) -> DataFrame:
-    """(fingerprint, n_near): other documents within the radius of each
+    """(fingerprint, n_near): other documents within ``NEAR_RADIUS`` of each
     query document's fingerprint; equal fingerprints count."""
     word = lambda k: F.conv(F.substring("fingerprint", 1 + 16 * k, 16), 16, -10).cast("long")
     marks = found.groupBy("fingerprint").agg(F.count("*").alias("n"), F.max(is_query).alias("asked"))
     marks = materialize(marks.select("fingerprint", "n", "asked", word(0).alias("hi"), word(1).alias("lo")), "marks")
-    pairs = within(marks.where("asked").select("hi", "lo"), marks.select("hi", "lo"))
-    counted = pairs.join(marks.select("hi", "lo", "n"), ["hi", "lo"]).groupBy("qhi", "qlo").agg(F.sum("n").alias("n"))
+    counted = scan(marks.where("asked"), marks)
     return marks.where("asked").join(counted, (F.col("hi") == F.col("qhi")) & (F.col("lo") == F.col("qlo"))).select(
         "fingerprint", (counted["n"] - 1).alias("n_near"))

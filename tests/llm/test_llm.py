@@ -197,6 +197,33 @@ def test_simhash_tables_find_all(spark):
     assert got == {(a, b) for a, x in rows.items() for b, y in rows.items() if (x ^ y).bit_count() <= 3}
 
 
+def test_simhash_near_counts_find_edited_texts(spark):
+    from pyspark.sql import functions as F
+    from attrition.llm import simhash as H
+    from attrition.llm.common import find_modules
+    rng, texts, likeness = random.Random(12), [], {}
+    shingles = lambda w: {tuple(w[k:k + 5]) for k in range(len(w) - 4)}
+    for i in range(60):     # each text and a copy with some words changed, from 0.8 to 1 similar
+        w = words(rng, 300).split(" ")
+        c = list(w)
+        while True:
+            c[rng.randrange(300)] = "changed"
+            a, b = shingles(w), shingles(c)
+            if len(a & b) / len(a | b) < 0.8 + 0.2 * (i % 6) / 6:
+                break
+            copy, likeness[i] = " ".join(c), len(a & b) / len(a | b)
+        texts += [" ".join(w), copy if i in likeness else " ".join(w)]
+    texts += [texts[0], "", None]
+    df = find_modules(spark).createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = H.fingerprinted(df).select("doc_id", "fingerprint").cache()
+    marks = {r["doc_id"]: int(r["fingerprint"], 16) for r in found.collect()}
+    near = {int(r["fingerprint"], 16): r["n_near"] for r in H.near_counts(found, F.col("doc_id") % 2 == 0).collect()}
+    for i in range(0, len(texts), 2):       # as by brute force
+        assert near[marks[i]] == sum((marks[i] ^ m).bit_count() <= H.NEAR_RADIUS for m in marks.values()) - 1
+    assert min(likeness.values()) >= 0.8
+    assert sum(near[marks[2 * i]] > 0 for i in likeness) >= 0.97 * len(likeness)
+
+
 def test_decontamination(spark, docs, empty, rows):
     from attrition.llm import decontaminate as D
     rng = random.Random(5)
