@@ -85,11 +85,9 @@ SNAP_ROLES = Roles(id="id", status="status", tenure="tenure", charge="charge", p
                    addons=ADDONS, streaming=STREAMING, protection=PROTECTION, targets=IMPUTE_TARGETS,
                    predictors=IMPUTE_PREDICTORS, caps=CAP_COLS, exclude=EXCLUDE, payment_rule=SNAP_PAYMENT_RULE, sparse_pct=None)
 
-# Small grid of the registered queries; ModelConfig() is the whole one.
-LIGHT = MD.ModelConfig(alphas=(0.0, 1.0), folds=2, inner_folds=2, final_folds=2, n_lambdas=3, max_iter=30,
-                       num_trees=20, parallelism=4)
-# Imputation rounds of the registered model queries; elsewhere five.
-LIGHT_ITERATIONS = 2
+# The whole search, which the registered queries run; tests pass a smaller one.
+WHOLE = MD.ModelConfig()
+IMPUTE_ITERATIONS = 5
 
 
 def read_customers(spark: SparkSession, customers: str, zip_codes: str | None = None, roles: Roles = Roles()) -> DataFrame:
@@ -157,8 +155,8 @@ class Training:
     roles: Roles
 
 
-def train(customers: DataFrame, cfg: MD.ModelConfig = MD.ModelConfig(), roles: Roles = Roles(),
-          impute_iter: int = 5) -> Training:
+def train(customers: DataFrame, cfg: MD.ModelConfig = WHOLE, roles: Roles = Roles(),
+          impute_iter: int = IMPUTE_ITERATIONS) -> Training:
     """Flow 1 on any customer table."""
     lab = L.labeled(customers, roles.status, roles.reason)
     cohort = materialize(L.cohort_model(lab), "cohort")
@@ -190,11 +188,11 @@ def too_many_labels(df: DataFrame, most: int) -> int:
 _CACHE: dict = {}
 
 
-def training_flow(spark: SparkSession, sf_dir: str, cfg: MD.ModelConfig = LIGHT) -> Training:
+def training_flow(spark: SparkSession, sf_dir: str, cfg: MD.ModelConfig = WHOLE) -> Training:
     """Flow 1 on the snapshot of the given tables, once per application."""
     key = (spark.sparkContext.applicationId, sf_dir, repr(cfg))
     if key not in _CACHE:
-        _CACHE[key] = train(snap(spark, sf_dir), cfg, SNAP_ROLES, LIGHT_ITERATIONS)
+        _CACHE[key] = train(snap(spark, sf_dir), cfg, SNAP_ROLES, IMPUTE_ITERATIONS)
     return _CACHE[key]
 
 
@@ -218,12 +216,12 @@ def score_new(t: Training, impute_iter: int = 5) -> DataFrame:
     return score_new_cohort(p, tenure=r.tenure, contract=r.contract, payment=r.payment, payment_rule=r.payment_rule)
 
 
-def test_scores(spark: SparkSession, sf_dir: str, cfg: MD.ModelConfig = LIGHT) -> DataFrame:
+def test_scores(spark: SparkSession, sf_dir: str, cfg: MD.ModelConfig = WHOLE) -> DataFrame:
     return score_test(training_flow(spark, sf_dir, cfg))
 
 
-def new_cohort_scores(spark: SparkSession, sf_dir: str, cfg: MD.ModelConfig = LIGHT) -> DataFrame:
-    return score_new(training_flow(spark, sf_dir, cfg), LIGHT_ITERATIONS)
+def new_cohort_scores(spark: SparkSession, sf_dir: str, cfg: MD.ModelConfig = WHOLE) -> DataFrame:
+    return score_new(training_flow(spark, sf_dir, cfg), IMPUTE_ITERATIONS)
 
 
 def evaluate(scores: DataFrame, id_col: str = "id") -> tuple[DataFrame, DataFrame]:

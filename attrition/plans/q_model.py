@@ -413,7 +413,7 @@ def q_forest_importance(spark, d):
     t = flows.training_flow(spark, d)
     cands = [c for c in t.train.columns if c not in flows.EXCLUDE]
     cats = [c for c in cands if dict(t.train.dtypes)[c] == "string"]
-    return SE.forest_importance(t.train, "target", cands, cats, num_trees=flows.LIGHT.num_trees, seed=123)
+    return SE.forest_importance(t.train, "target", cands, cats, num_trees=flows.WHOLE.num_trees, seed=123)
 
 
 @register("alpha_grid")
@@ -433,7 +433,7 @@ def q_lambda_search(spark, d):
 @register("lambda_curve")
 def q_lambda_curve(spark, d):
     """Error by lambda with lambda.min and lambda.1se of the final model."""
-    return MD.lambda_curve(q_lambda_search(spark, d), flows.LIGHT.final_folds)
+    return MD.lambda_curve(q_lambda_search(spark, d), flows.WHOLE.final_folds)
 
 
 @register("coef_long")

@@ -37,3 +37,23 @@ def test_scores(spark, trained):
     assert sums.agg(F.max(F.abs(F.col("p") - 1.0))).first()[0] < 1e-9
     levels = {r[0] for r in s.select("risk_category").distinct().collect()}
     assert levels <= {"Low", "Medium", "High", "Critical"}
+
+
+def test_registered_queries_run_the_whole_search(spark, monkeypatch):
+    from conftest import SF0001
+    from attrition.plans.registry import QUERIES, load_all
+
+    class Asked(Exception):
+        pass
+
+    def asked(customers, cfg, roles, impute_iter):
+        raise Asked(cfg, impute_iter)
+
+    load_all()
+    monkeypatch.setattr(flows, "_CACHE", {})
+    monkeypatch.setattr(flows, "train", asked)
+    for name in ("alpha_grid", "lambda_search", "lambda_curve", "forest_importance", "elastic_net_fit", "coef_long", "predict",
+                 "score_frame", "model_risk_summary", "model_evaluation", "new_cohort_scoring", "sink_model"):
+        with pytest.raises(Asked) as found:
+            QUERIES[name](spark, SF0001)
+        assert found.value.args == (MD.ModelConfig(), 5), name
