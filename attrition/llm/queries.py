@@ -1,25 +1,25 @@
 """One query for each operator, with production parameters over its whole
 table.  They are checked against brute-force versions in ``tests/llm``: none
-of the ten can be written in SQL."""
+can be written in SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attrition.llm import (decontaminate, hyperminhash, licenses, packing, pii, quality, sharding, simhash,
-                           substring_dedup, suffix_dedup)
-from attrition.llm.common import documents
+from attrition.llm import (conversation_repair, decontaminate, hyperminhash, licenses, packing, pii, quality, rank_bpe, sharding,
+                           simhash, substring_dedup, suffix_dedup, token_alignment)
+from attrition.llm.common import documents, find_modules
 from attrition.llm.registry import register
 from attrition.session import materialize, scratch_path
 
 N_SHARDS = 8
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     """Where the tokenizer lies on this machine (the executors' too)."""
     import public_tokenizers
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 @register("op1_virtual_slots")
@@ -107,3 +107,22 @@ def byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.score(docs, net)
     return scored.select("doc_id", F.coalesce(quality.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@register("op11_edit_lattice")
+def edit_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cheapest repair of every conversation after damage."""
+    return conversation_repair.repair(find_modules(spark).read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+@register("op12_token_alignment")
+def token_alignment_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aligned groups and links of two tokenizers over every document."""
+    return token_alignment.align(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"),
+                                 tokenizer_path("piece_bpe_32k.model"))
+
+
+@register("op13_rank_bpe")
+def rank_bpe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document and the text that they decode to."""
+    return rank_bpe.digests(documents(spark, sf_dir), tokenizer_path())
