@@ -2,7 +2,7 @@
 
 Side A is a byte-level tokenizer, side B a piece tokenizer that puts a space
 before the text; both are read as byte ranges of space + text.  In each batch
-``pandas.merge_asof``, keyed by document, finds for every token's start the
+``pandas.merge_asof``, keyed by document and byte, finds for every token's start the
 other side's token that covers it; the union of both directions is the overlaps
 of the two tokenizations.  Where tokens of both sides end at the same byte a
 group ends; all A and B tokens of a group are linked.
@@ -24,6 +24,8 @@ are written tables, so a lost executor loses one step's work only.
 from __future__ import annotations
 
 import hashlib
+import itertools
+import json
 import os
 from functools import lru_cache
 
@@ -38,15 +40,20 @@ from attrition.llm.common import release, row_blocks, utf8
 from attrition.llm.rank_bpe import byte_characters
 from attrition.session import materialize
 
-#: Bytes of text in a block of documents.
-BLOCK = 4 << 20
+#: Bytes of text in a block of documents, and aligned at a time.
+BLOCK, BATCH = 4 << 20, 1 << 19
 #: An id pair is a * RADIX + b; vocabularies larger than that are refused.
 RADIX = 1 << 16
+#: A group with more links than this is counted by distinct ids.
+WIDE = 64
 
 
 class Side:
     """One tokenizer: ids of texts and the bytes that an id stands for."""
 
+    #: Characters below U+0250 have had the same classes in all Unicode versions.
+    LATIN = "\u0250"
+
     def __init__(self, path: str):
         self.piece = path.endswith(".model")
         if self.piece:
@@ -64,19 +71,36 @@ class Side:
             self.bytes = [b""] * (max(vocab.values()) + 1)
             for token, i in vocab.items():
                 self.bytes[i] = b"".join(byte.get(c) or c.encode() for c in token)
+            self.fast = self._ranked(path)
         if len(self.bytes) > RADIX:
             raise ValueError(f"a vocabulary of {len(self.bytes)} ids does not fit in a pair")
         self.sizes = np.array([len(b) for b in self.bytes], np.int64)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def _ranked(self, path: str):
+        """The same vocabulary in a quicker library, where the file's ids follow
+        its merges and its words are cut by the plain byte-level rule; else None."""
+        import public_tokenizers
+        import tiktoken
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        vocab, rule = spec["model"]["vocab"], spec["pre_tokenizer"]
+        merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in spec["model"]["merges"]]
+        if (spec["normalizer"] or rule["type"] != "ByteLevel" or not rule.get("use_regex", True) or rule["add_prefix_space"]
+                or [vocab[m] for m in merged] != list(range(256, 256 + len(merged))) or len(vocab) != 256 + len(merged)):
+            return None
+        return tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, special_tokens={},
+                                 mergeable_ranks={self.bytes[i]: i for i in vocab.values()}).encode_ordinary
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of space + text for each text."""
         if self.piece:      # puts the space itself
-            return [np.array(i, np.int64) for i in self.model.encode(texts, num_threads=1)]
-        return [np.array(e.ids, np.int64) for e in
-                self.model.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+            return self.model.encode(texts, num_threads=1)
+        quick = [self.fast is not None and (t.isascii() or max(t) < self.LATIN) for t in texts]
+        rest = iter(self.model.encode_batch_fast([" " + t for t, q in zip(texts, quick) if not q], add_special_tokens=False))
+        return [self.fast(" " + t) if q else next(rest).ids for t, q in zip(texts, quick)]
 
-    def joined(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids.tolist()))
+    def joined(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.bytes.__getitem__, ids))
 
 
 @lru_cache(maxsize=4)
@@ -84,89 +108,86 @@ def side(path: str) -> Side:
     return Side(path)
 
 
-def tokens(use: Side, texts: list[str], skip: np.ndarray) -> list[np.ndarray]:
+def tokens(use: Side, texts: list[str], skip: np.ndarray) -> list[list[int]]:
     """Ids of each text; those of skipped texts, and of texts that the tokens
     don't give back, are none."""
-    none = np.zeros(0, np.int64)
     out = use.encode(["" if s else t for t, s in zip(texts, skip)])
-    return [none if s or use.joined(ids) != b" " + t.encode() else ids for t, s, ids in zip(texts, skip, out)]
+    return [[] if s or use.joined(ids) != b" " + t.encode() else ids for t, s, ids in zip(texts, skip, out)]
 
 
-def frame(ids: list[np.ndarray], sizes: np.ndarray, base: np.ndarray) -> pd.DataFrame:
+def frame(ids: list[list[int]], sizes: np.ndarray) -> pd.DataFrame:
     """One row per token: document (place in the batch), start and end byte
-    counted over the batch, id."""
-    flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-    doc = np.repeat(np.arange(len(ids)), [len(i) for i in ids])
+    counted over the batch, id.  Both sides have the same bytes, so a document
+    begins at the same place on both, and a place is in one document only."""
+    flat = np.fromiter(itertools.chain.from_iterable(ids), np.int64, sum(map(len, ids)))
     size = sizes[flat]
     end = np.cumsum(size)
-    # documents follow one another; their bases part them
-    first = np.concatenate([[0], end])[np.searchsorted(doc, np.arange(len(ids)))]
-    start = end - size - first[doc] + base[doc]
-    return pd.DataFrame({"doc": doc, "start": start, "end": start + size, "id": flat})
+    return pd.DataFrame({"doc": np.repeat(np.arange(len(ids)), [len(i) for i in ids]), "start": end - size, "end": end, "id": flat},
+                        copy=False)
 
 
-def overlaps(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+def overlaps(a: pd.DataFrame, b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers (of ``a`` and ``b``) of all tokens that share a byte: each
-    start's covering token on the other side, in both directions."""
-    def covering(x: pd.DataFrame, y: pd.DataFrame, left: str, right: str) -> pd.DataFrame:
-        found = pd.merge_asof(x[["doc", "start"]].assign(**{left: np.arange(len(x))}),
-                              y[["doc", "start", "end"]].assign(**{right: np.arange(len(y))}).rename(columns={"end": "until"}),
-                              on="start", by="doc")
-        found = found[found["until"] > found["start"]]
-        return found[["a", "b"]].astype(np.int64)
-
-    both = pd.concat([covering(a, b, "a", "b"), covering(b, a, "b", "a")])
-    return both.drop_duplicates().sort_values(["a", "b"], ignore_index=True)
-
-
-def groups(a: pd.DataFrame, b: pd.DataFrame, lap: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    start's covering token on the other side, in both directions.  The key is
+    the document and the byte in one number (the byte over the batch).  Where
+    both tokens start at one byte, the first direction has the pair already."""
+    def covering(x: pd.DataFrame, y: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        found = pd.merge_asof(x[["start"]], pd.DataFrame({"start": y["start"], "row": np.arange(len(y))}), on="start")
+        row = found["row"].to_numpy()
+        same = y["start"].to_numpy()[row] == x["start"].to_numpy()
+        return row, same
+
+    if not len(a):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    over_a, _ = covering(a, b)
+    over_b, same = covering(b, a)
+    return (np.concatenate([np.arange(len(a)), over_b[~same]]), np.concatenate([over_a, np.flatnonzero(~same)]))
+
+
+def groups(a: pd.DataFrame, b: pd.DataFrame, lap: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Number of the group of each A and each B token: a group ends with a
     pair of overlapping tokens that end at the same byte."""
-    closed = lap[a["end"].to_numpy()[lap["a"]] == b["end"].to_numpy()[lap["b"]]]
+    closed = a["end"].to_numpy()[lap[0]] == b["end"].to_numpy()[lap[1]]
 
-    def number(n: int, last: pd.Series) -> np.ndarray:
+    def number(n: int, last: np.ndarray) -> np.ndarray:
         ends = np.zeros(n + 1, np.int64)
-        ends[last.to_numpy() + 1] = 1
+        ends[last + 1] = 1
         return np.cumsum(ends)[:n]
 
-    return number(len(a), closed["a"]), number(len(b), closed["b"])
+    return number(len(a), lap[0][closed]), number(len(b), lap[1][closed])
 
 
 def linked_pairs(a: pd.DataFrame, b: pd.DataFrame, ga: np.ndarray, gb: np.ndarray) -> tuple[np.ndarray, ...]:
     """(doc, id pair, links) of the distinct linked id pairs of each document.
-    Ids are made distinct in each group first."""
-    def distinct(t: pd.DataFrame, g: np.ndarray):
-        key, n = np.unique(g * RADIX + t["id"].to_numpy(), return_counts=True)
-        return key // RADIX, key % RADIX, n
-
-    (ag, ai, an), (bg, bi, bn) = distinct(a, ga), distinct(b, gb)
-    doc_of = np.zeros((int(ga[-1]) if len(ga) else -1) + 1, np.int64)
-    doc_of[ga] = a["doc"].to_numpy()
-    lo, hi = np.searchsorted(bg, ag), np.searchsorted(bg, ag, side="right")
-    width = hi - lo
-    left = np.repeat(np.arange(len(ag)), width)
-    right = np.arange(len(left)) - np.repeat(np.cumsum(width) - width, width) + np.repeat(lo, width)
-    doc, pair, n = doc_of[ag[left]], ai[left] * RADIX + bi[right], an[left] * bn[right]
-    order = np.lexsort((pair, doc))
-    doc, pair, n = doc[order], pair[order], n[order]
-    if not len(doc):
-        return doc, pair, n
-    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (pair[1:] != pair[:-1])]))
-    return doc[new], pair[new], np.add.reduceat(n, new)
-
-
-def digest(a: list[int], b: list[int], ca: np.ndarray, cb: np.ndarray) -> str:
-    """Digest of a document's groups; ``ca`` and ``cb`` are their sizes."""
-    a, b = list(map(str, a)), list(map(str, b))
-    if len(ca) == len(a) == len(b):     # one token to one
-        text = ";".join(map("|".join, zip(a, b)))
-    else:
-        parts, i, j = [], 0, 0
-        for n, m in zip(ca.tolist(), cb.tolist()):
-            parts.append(",".join(a[i:i + n]) + "|" + ",".join(b[j:j + m]))
-            i, j = i + n, j + m
-        text = ";".join(parts)
-    return hashlib.sha256(text.encode()).hexdigest()
+    In wide groups ids are made distinct first."""
+    none = np.zeros(0, np.int64)
+    if not len(a):
+        return none, none, none
+    ai, bi = a["id"].to_numpy(), b["id"].to_numpy()
+    ca, cb = np.bincount(ga), np.bincount(gb)
+    first_b = np.cumsum(cb) - cb
+    width = np.where((ca * cb > WIDE)[ga], 0, cb[ga])
+    left = np.repeat(np.arange(len(a)), width)
+    right = np.arange(len(left)) - np.repeat(np.cumsum(width) - width, width) + np.repeat(first_b[ga], width)
+    doc, pair, n = [a["doc"].to_numpy()[left]], [ai[left] * RADIX + bi[right]], [np.ones(len(left), np.int64)]
+    first_a = np.cumsum(ca) - ca
+    for g in np.flatnonzero(ca * cb > WIDE).tolist():
+        x, nx = np.unique(ai[first_a[g]:first_a[g] + ca[g]], return_counts=True)
+        y, ny = np.unique(bi[first_b[g]:first_b[g] + cb[g]], return_counts=True)
+        doc.append(np.full(len(x) * len(y), a["doc"].to_numpy()[first_a[g]]))
+        pair.append((x[:, None] * RADIX + y[None]).ravel())
+        n.append((nx[:, None] * ny[None]).ravel())
+    doc, pair, n = map(np.concatenate, (doc, pair, n))
+    key = doc << 32 | pair
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[new] >> 32, key[new] & 0xFFFFFFFF, np.add.reduceat(n[order], new)
+
+
+@lru_cache(maxsize=8)
+def written(n_ids: int, mark: str) -> np.ndarray:
+    return np.array([f"{i}{mark}" for i in range(n_ids)], object)
 
 
 class Aligned:
@@ -175,41 +196,41 @@ class Aligned:
     def __init__(self, left: Side, right: Side, column: pa.Array):
         texts = column.to_pylist()
         skip = np.array([not t for t in texts], bool)
-        ids_a = tokens(left, [t or "" for t in texts], skip)
-        ids_b = tokens(right, [t or "" for t in texts], skip | np.array([not len(i) for i in ids_a], bool))
-        ids_a = [i if len(j) else j for i, j in zip(ids_a, ids_b)]
-        size = np.array([left.sizes[i].sum() for i in ids_a], np.int64)
-        base = np.cumsum(size) - size
-        self.a, self.b = frame(ids_a, left.sizes, base), frame(ids_b, right.sizes, base)
-        self.overlaps = overlaps(self.a, self.b)
-        self.ga, self.gb = groups(self.a, self.b, self.overlaps)
-        self.at_a = np.searchsorted(self.a["doc"], np.arange(len(texts) + 1))
-        self.at_b = np.searchsorted(self.b["doc"], np.arange(len(texts) + 1))
-        self.n = len(texts)
-
-    def digests(self) -> tuple[list[int], list[str]]:
-        """Number of groups and digest of each document."""
-        n_groups, sha = [], []
+        ids_a = tokens(left, texts, skip)
+        ids_b = tokens(right, texts, skip | np.array([not i for i in ids_a], bool))
+        ids_a = [i if j else [] for i, j in zip(ids_a, ids_b)]
+        self.a, self.b = frame(ids_a, left.sizes), frame(ids_b, right.sizes)
+        self.lap_a, self.lap_b = overlaps(self.a, self.b)
+        self.ga, self.gb = groups(self.a, self.b, (self.lap_a, self.lap_b))
+        self.at_a, self.at_b = (np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int64) for ids in (ids_a, ids_b))
+        self.n, self.ids = len(texts), (len(left.bytes), len(right.bytes))
+
+    def digests(self) -> tuple[np.ndarray, list[str]]:
+        """Number of groups and digest of each document.  Tokens are written
+        group by group, A before B, each with the mark that follows it."""
         a, b = self.a["id"].to_numpy(), self.b["id"].to_numpy()
-        for d in range(self.n):
-            (i, j), (k, m) = self.at_a[d:d + 2], self.at_b[d:d + 2]
-            if i == j:
-                n_groups.append(0)
-                sha.append("")
-                continue
-            first = self.ga[i]
-            ca, cb = np.bincount(self.ga[i:j] - first), np.bincount(self.gb[k:m] - first)
-            n_groups.append(len(ca))
-            sha.append(digest(a[i:j].tolist(), b[k:m].tolist(), ca, cb))
-        return n_groups, sha
+        if not len(a):
+            return np.zeros(self.n, np.int64), [""] * self.n
+        ca, cb = np.bincount(self.ga), np.bincount(self.gb)
+        last_a, last_b = np.cumsum(ca), np.cumsum(cb)
+        text = np.empty(len(a) + len(b), object)
+        text[np.arange(len(a)) + (last_b - cb)[self.ga]] = written(self.ids[0], ",")[a]
+        text[np.arange(len(b)) + last_a[self.gb]] = written(self.ids[1], ",")[b]
+        text[last_a - 1 + last_b - cb] = written(self.ids[0], "|")[a[last_a - 1]]
+        text[last_a + last_b - 1] = written(self.ids[1], ";")[b[last_b - 1]]
+        ends = self.at_a + self.at_b
+        sha = [hashlib.sha256("".join(text[i:j].tolist())[:-1].encode()).hexdigest() if i < j else ""
+               for i, j in zip(ends[:-1], ends[1:])]
+        count = np.concatenate([[0], self.ga + 1])
+        return count[self.at_a[1:]] - count[self.at_a[:-1]], sha
 
 
 def _batches(batches):
-    """Arrow batches cut into blocks of bounded size."""
+    """Arrow batches cut into smaller ones of bounded bytes."""
     for batch in batches:
         _, offsets = utf8(batch.column(1))
-        for i, j in row_blocks(offsets, BLOCK):
-            yield batch.slice(i, j - i)
+        for i, j in row_blocks(offsets, BATCH):
+            yield batch.slice(i, j - i), int(offsets[j] - offsets[i])
 
 
 OVERLAPS = "doc_id long, a_token long, b_token long, a_id int, b_id int, start long, end long, group long"
@@ -221,19 +242,17 @@ def overlap_rows(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
     def run(batches):
         left, right = side(path_a), side(path_b)
-        for batch in _batches(batches):
+        for batch, _ in _batches(batches):
             al = Aligned(left, right, batch.column(1))
-            x, y = al.a.iloc[al.overlaps["a"]], al.b.iloc[al.overlaps["b"]]
+            x, y = al.a.iloc[al.lap_a], al.b.iloc[al.lap_b]
             doc = x["doc"].to_numpy()
-            base = al.a["start"].to_numpy()[np.minimum(al.at_a[:-1], max(len(al.a) - 1, 0))][doc] if len(x) else doc
-            group = al.ga[al.overlaps["a"]]
-            first = al.ga[al.at_a[:-1][doc]] if len(x) else group
+            base = al.a["start"].to_numpy()[al.at_a[doc]]
+            group = al.ga[al.lap_a]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(doc)), *map(pa.array, (
-                    (al.overlaps["a"] - al.at_a[doc]).to_numpy(), (al.overlaps["b"] - al.at_b[doc]).to_numpy(),
-                    x["id"].to_numpy(np.int32), y["id"].to_numpy(np.int32),
+                    al.lap_a - al.at_a[doc], al.lap_b - al.at_b[doc], x["id"].to_numpy(np.int32), y["id"].to_numpy(np.int32),
                     np.maximum(x["start"].to_numpy(), y["start"].to_numpy()) - base,
-                    np.minimum(x["end"].to_numpy(), y["end"].to_numpy()) - base, group - first))],
+                    np.minimum(x["end"].to_numpy(), y["end"].to_numpy()) - base, group - al.ga[al.at_a[doc]]))],
                 names=[c.split()[0] for c in OVERLAPS.split(", ")])
         release()
 
@@ -250,30 +269,43 @@ def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """One row per document with its figures and its distinct linked id pairs;
     the first row of each block also has the block's distinct pairs and the
     number of documents of each."""
+    names = [c.split()[0] for c in DOCUMENT.split(", ")]
 
     def run(batches):
         left, right = side(path_a), side(path_b)
-        block = TaskContext.get().partitionId() << 32
-        for batch in _batches(batches):
+        block, parts, pairs, size = TaskContext.get().partitionId() << 32, [], [], 0
+
+        def close():
+            own, holders = np.unique(np.concatenate(pairs), return_counts=True)
+            table = pa.Table.from_batches(parts)
+            none = [None] * (len(table) - 1)
+            for name, col in (("block", pa.array([block] * len(table), pa.int64())),
+                              ("distinct", pa.array([own.tobytes(), *none], pa.binary())),
+                              ("documents", pa.array([holders.astype(np.uint32).tobytes(), *none], pa.binary()))):
+                table = table.append_column(name, col)
+            return table.select(names).to_batches()
+
+        for batch, n_bytes in _batches(batches):
             al = Aligned(left, right, batch.column(1))
             doc, pair, n = linked_pairs(al.a, al.b, al.ga, al.gb)
             at = np.searchsorted(doc, np.arange(al.n + 1))
             total = np.concatenate([[0], np.cumsum(n)])
-            own, holders = np.unique(pair, return_counts=True)
             n_groups, sha = al.digests()
-            lap_doc = al.a["doc"].to_numpy()[al.overlaps["a"]]
             small, many = pair.astype(np.uint32), n.astype(np.uint32)
-            cut = [slice(i, j) for i, j in zip(at[:-1], at[1:])]
-            none = [None] * (al.n - 1)
-            yield pa.RecordBatch.from_arrays(
+            pairs.append(small)
+            parts.append(pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.diff(al.at_a)), pa.array(np.diff(al.at_b)),
-                 pa.array(np.bincount(lap_doc, minlength=al.n)), pa.array(n_groups, pa.int64()),
-                 pa.array(total[at[1:]] - total[at[:-1]]), pa.array(sha, pa.string()), pa.array([block] * al.n, pa.int64()),
-                 pa.array([small[c].tobytes() for c in cut], pa.binary()), pa.array([many[c].tobytes() for c in cut], pa.binary()),
-                 pa.array([own.astype(np.uint32).tobytes(), *none], pa.binary()),
-                 pa.array([holders.astype(np.uint32).tobytes(), *none], pa.binary())],
-                names=[c.split()[0] for c in DOCUMENT.split(", ")])
-            block += 1
+                 pa.array(np.bincount(al.a["doc"].to_numpy()[al.lap_a], minlength=al.n)), pa.array(n_groups),
+                 pa.array(total[at[1:]] - total[at[:-1]]), pa.array(sha, pa.string()),
+                 pa.array([small[i:j].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary()),
+                 pa.array([many[i:j].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary())],
+                names=["doc_id", "n_a", "n_b", "n_overlaps", "n_groups", "n_links", "groups_sha256", "pairs", "links"]))
+            size += n_bytes
+            if size >= BLOCK:
+                yield from close()
+                block, parts, pairs, size = block + 1, [], [], 0
+        if parts:
+            yield from close()
         release()
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, DOCUMENT)

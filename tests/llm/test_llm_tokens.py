@@ -113,8 +113,8 @@ def brute_alignment(rows, sides):
     for r in rows:
         text, groups = r[1], []
         if text:
-            x, y = a.encode([text])[0].tolist(), b.encode([text])[0].tolist()
-            if a.joined(np.array(x)) == b.joined(np.array(y)) == (" " + text).encode():
+            x, y = a.model.encode(" " + text, add_special_tokens=False).ids, b.model.encode(text)
+            if a.joined(x) == b.joined(y) == (" " + text).encode():
                 i = j = 0
                 while i < len(x):
                     ga, gb, n, m = [x[i]], [y[j]], len(a.bytes[x[i]]), len(b.bytes[y[j]])
@@ -170,6 +170,17 @@ def test_overlaps(spark, rows, sides):
         assert got[doc] == want, doc
 
 
+def test_quick_library_gives_the_same_ids(sides):
+    from attrition.llm.token_alignment import Side
+    a, rng = Side(sides[0]), random.Random(8)
+    assert a.fast is not None
+    bits = ["a", "the", "'s", "'S", "'re", "é", "Ɏ", "ß", "1", "²", "½", "ª", "\xa0", "\x85", "\xad", "\x1c", "\x1f", " ", "  ", "\n", "\r\n",
+            "\t", "\x0b", "\x0c", "...", "!?", "<|endoftext|>", "_", "\x00", "\x7f", "Ā", "ǅ"]
+    for _ in range(3000):
+        text = "".join(rng.choices(bits, k=rng.randint(0, 30)))
+        assert a.encode([text])[0] == a.model.encode(" " + text, add_special_tokens=False).ids, text
+
+
 # --- conversations -----------------------------------------------------------
 def least_edits(rows):
     """(cost, audit, lines) by trying all sequences of edits, cheapest first,
