@@ -1,135 +1,200 @@
 """Chained-equation predictive mean matching (M4) and its donor step (M5).
 
-Per incomplete numeric column and iteration: a Spark ML linear regression
-of the column on the others (current fills) gives a prediction y^ for
-every row; each row with a missing value takes the observed value of one
-of its ``k`` donors nearest in y^, picked by a hash of (row, seed,
-iteration).
-
-Donor matching is exact and bounded.  Donors and recipients are ranked
-together along y^ (``bucketed_running`` on approximate-quantile buckets of
-y^, so no single task sorts everything).  A recipient whose insertion rank
-among donors is p has its k nearest donors among donor ranks p-k+1 .. p+k;
-donors are cut into blocks of k ranks and each recipient equi-joins the
-(at most three) blocks covering that band: at most 3k candidates per
-recipient, no cross join, no skew.
-
-Differences from the reference's imputation library: predictions for
-recipients use the fitted coefficients (no Bayesian parameter draw), one
-completed set is produced (the reference computes five and keeps the
-first), and ``mode_fill`` is there for strings.
+Each round refits every incomplete column in turn.  One aggregation gives the
+Gramian of all columns over the rows in which the target is known (one Gramian
+per completed set, all sets in the same pass); coefficients and residual
+variance follow on the driver.  As in the reference's imputation library a
+round draws the coefficients and the variance from their posterior (Cholesky
+factor of the covariance, normals seeded by set, round and column): rows with
+a known value are predicted by the fitted coefficients, rows without by the
+drawn ones, and a row takes the value of one of its ``k`` donors nearest in
+prediction, chosen by a hash of its id.
+
+String columns take part like number columns: as a target a column's level
+codes (alphabetical) are predicted and the donor's level is taken; as a
+predictor it is one indicator column per level but the first.  Columns with
+more than ``MAX_LEVELS`` levels, or with no known value, are left out.
+
+Matching (:mod:`attrition.operators.pmm`) takes one range exchange per step and
+no join; each step's rows are written to the shared checkpoint folder, so the
+next step's lineage is one table.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from attrition.functions.exprs import hex_digits_value, md5_key
-from attrition.operators.ordering import bucketed_running, with_quantile_bucket
+from attrition.operators.path import _summed
+from attrition.operators.pmm import hashed_pick, matched
+from attrition.session import materialize, python_workers
 
+MAX_LEVELS = 53
+#: Share of a column's variance added to the Gramian's diagonal, so that
+#: collinear columns have a solution.
+RIDGE = 1e-5
 
-def pmm_donor_match(scored: DataFrame, id_col: str, yhat: str, value: str, k: int = 5,
-                    seed: str = "123", buckets: int = 1024) -> DataFrame:
+
+def pmm_donor_match(scored: DataFrame, id_col: str, yhat: str, value: str, k: int = 5, seed: str = "123") -> DataFrame:
     """M5: ``(id, imputed)`` for rows with null ``value``: the observed value
     of one of the k donors nearest in ``yhat`` (ties by donor id), chosen
     by ``md5(id:seed)``.  ``scored`` has id, yhat and value (null = recipient)."""
-    d = scored.select(F.col(id_col).alias("_id"), F.col(yhat).alias("_y"), F.col(value).alias("_v"))
-    d = d.withColumn("_donor", F.col("_v").isNotNull().cast("int"))
-    # Donors before recipients on equal y^, then id: a total order.
-    d = with_quantile_bucket(d, "_y", "_yb", buckets)
-    d = bucketed_running(d, [], F.col("_yb"), ["_y", F.desc("_donor"), "_id"],
-                         sums={"_dcum": F.col("_donor")}).drop("_yb")
-    d = d.withColumn("_dcum", F.coalesce("_dcum", F.lit(0)).cast("bigint")).persist()
-    try:
-        donors = (d.filter("_donor = 1")
-                  .select(F.col("_id").alias("_did"), F.col("_y").alias("_dy"), "_v", F.col("_dcum").alias("_rank")))
-        # Below a recipient the nearest donors are the last ones, so equal
-        # predictions are numbered there by descending id: the smallest ids of
-        # a tie come first on either side.
-        ties = donors.groupBy("_dy").agg((F.min("_rank") + F.max("_rank")).alias("_ends"))
-        sides = donors.join(ties, "_dy").withColumn(
-            "_place", F.explode(F.array(F.struct(F.lit(0).alias("side"), (F.col("_ends") - F.col("_rank")).alias("at")),
-                                        F.struct(F.lit(1).alias("side"), F.col("_rank").alias("at")))))
-        donors = sides.select("_did", "_dy", "_v", F.col("_place.side").alias("_side"), F.col("_place.at").alias("_at"),
-                              F.floor((F.col("_place.at") - 1) / k).cast("bigint").alias("_block"))
-        rec = d.filter("_donor = 0").select("_id", "_y", F.col("_dcum").alias("_p"))
-        rec = rec.withColumn("_range", F.explode(F.array(
-            F.struct(F.lit(0).alias("side"), F.greatest(F.col("_p") - k + 1, F.lit(1)).alias("lo"), F.col("_p").alias("hi")),
-            F.struct(F.lit(1).alias("side"), (F.col("_p") + 1).alias("lo"), (F.col("_p") + k).alias("hi")))))
-        rec = rec.select("_id", "_y", F.col("_range.side").alias("_side"), F.col("_range.lo").alias("_lo"),
-                         F.col("_range.hi").alias("_hi")).filter("_lo <= _hi")
-        rec = rec.withColumn("_block", F.explode(F.sequence(F.floor((F.col("_lo") - 1) / k).cast("bigint"),
-                                                            F.floor((F.col("_hi") - 1) / k).cast("bigint"))))
-        cand = (rec.join(donors, ["_side", "_block"])
-                .filter((F.col("_at") >= F.col("_lo")) & (F.col("_at") <= F.col("_hi"))))
-        w = Window.partitionBy("_id").orderBy(F.abs(F.col("_y") - F.col("_dy")), F.col("_did"))
-        cand = cand.withColumn("_nn", F.row_number().over(w)).filter(F.col("_nn") <= k)
-        cand = cand.withColumn("_kk", F.count(F.lit(1)).over(Window.partitionBy("_id")))
-        pick = (hex_digits_value(md5_key(F.col("_id"), F.lit(":"), F.lit(seed)), 1, 4) % F.col("_kk")) + 1
-        out = cand.filter(F.col("_nn") == pick).select(F.col("_id").alias(id_col), F.col("_v").alias("imputed"))
-        return _materialize(out)
-    finally:
-        d.unpersist()
-
-
-def _materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage through a table written to the shared checkpoint folder
-    (survives executor loss; see ``session.materialize``)."""
-    from attrition.session import materialize
-    return materialize(df, "impute")
-
-
-def impute_pmm(df: DataFrame, id_col: str, targets: Sequence[str], predictors: Sequence[str],
-               *, k: int = 5, max_iter: int = 5, seed: str = "123") -> DataFrame:
-    """M4: chained-equation PMM over the incomplete numeric ``targets``,
-    using the complete ``predictors`` and the other targets' current
-    fills.  Starts from the column mean; each iteration refits every
-    target in turn and re-draws its missing cells; each iteration's state
-    is written to the shared checkpoint folder, cutting lineage.  A null
-    predictor counts as its column's mean, so every cell of a target with any
-    known value is filled; a target or predictor without one is left out."""
-    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in [*targets, *predictors]]).first()
-    targets = [t for t in targets if means[t] is not None]
-    predictors = [p for p in predictors if means[p] is not None]
-    miss = {t: f"__miss_{t}" for t in targets}
-    # Iterate on a narrow frame (key, predictors, targets); the completed
-    # targets are joined back to the full rows by key once at the end.
-    narrow = df.select(id_col, *predictors, *targets)
-    cur = narrow.select("*", *[F.col(t).isNull().alias(miss[t]) for t in targets])
-    for c in [*targets, *predictors]:
-        cur = cur.withColumn(c, F.coalesce(F.col(c).cast("double"), F.lit(means[c])))
-    cur = _materialize(cur)
-    for it in range(1, max_iter + 1):
-        for t in targets:
-            xs = [c for c in [*predictors, *[o for o in targets if o != t]]]
-            va = VectorAssembler(inputCols=xs, outputCol="__x", handleInvalid="skip")
-            obs = va.transform(cur.filter(~F.col(miss[t])))
-            lr = LinearRegression(featuresCol="__x", labelCol=t, predictionCol="__yhat", regParam=0.0)
-            model = lr.fit(obs)
-            scored = model.transform(va.transform(cur)).select(
-                id_col, "__yhat", F.when(~F.col(miss[t]), F.col(t)).alias("__obs"))
-            fills = pmm_donor_match(scored, id_col, "__yhat", "__obs", k, f"{seed}:{t}:{it}")
-            cur = (cur.join(fills.withColumnRenamed("imputed", "__fill"), id_col, "left")
-                   .withColumn(t, F.when(F.col(miss[t]), F.col("__fill")).otherwise(F.col(t)))
-                   .drop("__fill"))
-            cur = _materialize(cur)
-    filled = cur.select(id_col, *[F.col(t).cast(df.schema[t].dataType).alias(t) for t in targets])
-    out = df.drop(*targets).join(filled, id_col, "inner")
-    return out.select(*df.columns)
+    d = scored.select(F.col(id_col), F.col(yhat).cast("double").alias("__yhat"), F.col(value).isNotNull().alias("__donor"),
+                      F.col(value).alias("__value"))
+    got = matched(d, id_col, ["__value"], k, hashed_pick(id_col, seed), ["imputed"])
+    return got.where("__value IS NULL").select(id_col, "imputed")
 
 
 def mode_fill(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """String nulls -> the column's most frequent level (ties by name); one
     grouped aggregation per column, a handful of values collected."""
-    fills = {}
-    for c in cols:
-        r = (df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-             .orderBy(F.desc("n"), F.asc(c)).limit(1).collect())
-        if r:
-            fills[c] = r[0][c]
+    fills = {c: v for c, v in ((c, mode_of(df, c)) for c in cols) if v is not None}
     return df.fillna(fills) if fills else df
+
+
+def mode_of(df: DataFrame, c: str):
+    r = (df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n"))
+         .orderBy(F.desc("n"), F.asc(c)).limit(1).collect())
+    return r[0][c] if r else None
+
+
+def gramian(rows: DataFrame, n_sets: int, n_columns: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per set: cross-products of (1, columns, target) over the rows with a
+    known target, and their number.  ``rows`` has ``set``, ``x`` and ``y``
+    (null: unknown)."""
+    p = n_columns + 2
+
+    def work(batches):
+        total = np.zeros((n_sets, p, p))
+        for batch in batches:
+            known = batch.column("y").is_valid().to_numpy(zero_copy_only=False)
+            if not known.any():
+                continue
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(len(known), n_columns)[known]
+            y = batch.column("y").to_numpy(zero_copy_only=False)[known]
+            s = batch.column("set").to_numpy(zero_copy_only=False)[known]
+            m = np.concatenate([np.ones((len(y), 1)), x, y[:, None].astype(float)], axis=1)
+            for k in range(n_sets):
+                part = m[s == k]
+                total[k] += part.T @ part
+        return total.ravel()
+
+    got = _summed(rows, work, n_sets * p * p).reshape(n_sets, p, p)
+    return got, got[:, 0, 0]
+
+
+def normals(n: int, *seed) -> np.random.Generator:
+    """Generator seeded by a hash of what it is for."""
+    return np.random.default_rng(int.from_bytes(hashlib.sha256(":".join(map(str, seed)).encode()).digest()[:8], "big"))
+
+
+def draw(gram: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """(fitted, drawn) coefficients of the last column on the others from the
+    cross-products of one set: the posterior draw of Bayesian linear regression
+    with a flat prior."""
+    n, a, b, c = gram[0, 0], gram[:-1, :-1], gram[:-1, -1], gram[-1, -1]
+    a = a + np.diag(RIDGE * np.diag(a))
+    fitted = np.linalg.solve(a, b)
+    rss = max(c - 2 * fitted @ b + fitted @ gram[:-1, :-1] @ fitted, 0.0)
+    sigma = np.sqrt(rss / rng.chisquare(max(n - len(fitted), 1.0)))
+    root = np.linalg.cholesky(np.linalg.inv(a))
+    return fitted, fitted + sigma * root @ rng.standard_normal(len(fitted))
+
+
+class Plan:
+    """Which columns take part and how they enter a regression."""
+
+    def __init__(self, df: DataFrame, targets: Sequence[str], predictors: Sequence[str]):
+        kinds = {f.name: f.dataType for f in df.schema.fields}
+        names = [*targets, *[p for p in predictors if p not in targets]]
+        self.strings = [c for c in names if isinstance(kinds[c], T.StringType)]
+        numbers = [c for c in names if c not in self.strings]
+        aggs = [F.count("*").alias("_n")]
+        for i, c in enumerate(numbers):
+            x = F.col(f"`{c}`").cast("double")
+            aggs += [F.avg(x).alias(f"m{i}"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias(f"s{i}")]
+        aggs += [F.approx_count_distinct(F.col(f"`{c}`")).alias(f"d{i}") for i, c in enumerate(self.strings)]
+        row = df.agg(*aggs).first()
+        few = [c for i, c in enumerate(self.strings) if 0 < row[f"d{i}"] <= 1.2 * MAX_LEVELS]
+        self.levels: dict[str, list[str]] = {c: [] for c in self.strings}
+        if few:     # bounded: columns with few levels only
+            found = df.agg(*[F.sort_array(F.collect_set(F.col(f"`{c}`"))).alias(f"l{i}") for i, c in enumerate(few)]).first()
+            self.levels |= {c: list(found[f"l{i}"]) for i, c in enumerate(few) if len(found[f"l{i}"]) <= MAX_LEVELS}
+        self.mean = {c: row[f"m{i}"] for i, c in enumerate(numbers)}
+        self.sd = {c: row[f"s{i}"] or 1.0 for i, c in enumerate(numbers)}
+        usable = [c for c in names if (self.levels.get(c) if c in self.strings else self.mean[c] is not None)]
+        self.targets = [c for c in targets if c in usable]
+        self.predictors = [c for c in usable if c not in targets]
+        self.start = {c: mode_of(df, c) if c in self.strings else self.mean[c] for c in usable}
+
+    def enter(self, c: str) -> list[Column]:
+        """A column as predictor: scaled, or an indicator for each level but the first."""
+        if c in self.strings:
+            return [F.when(F.col(f"`{c}`") == v, 1.0).otherwise(0.0) for v in self.levels[c][1:]]
+        return [(F.col(f"`{c}`") - F.lit(self.mean[c])) / F.lit(self.sd[c])]
+
+    def code(self, c: str) -> Column:
+        """A column as target: its value, scaled, or its level's number."""
+        if c in self.strings:
+            return (F.array_position(F.array(*[F.lit(v) for v in self.levels[c]]), F.col(f"`{c}`")) - 1).cast("double")
+        return self.enter(c)[0]
+
+
+def impute_sets(df: DataFrame, id_col: str, targets: Sequence[str], predictors: Sequence[str], *, m: int = 5, k: int = 5,
+                max_iter: int = 5, seed: str = "123") -> DataFrame:
+    """M4: ``m`` completed sets, long: ``set`` (0-based), the id, predictors
+    and targets.  All sets are drawn in the same passes.  A null predictor
+    counts as its column's mean or most frequent level; so does a null target
+    until its first round."""
+    plan = Plan(df, targets, predictors)
+    python_workers(df.sparkSession)
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    names = [*plan.predictors, *plan.targets]
+    miss = {t: f"__miss_{i}" for i, t in enumerate(plan.targets)}
+
+    def start(c: str) -> Column:
+        x = F.col(f"`{c}`") if c in plan.strings else F.col(f"`{c}`").cast("double")
+        return F.coalesce(x, F.lit(plan.start[c])).alias(c)
+
+    cur = df.select(F.col(id_col), *[F.col(f"`{t}`").isNull().alias(x) for t, x in miss.items()], *[start(c) for c in names])
+    cur = cur.select(F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("set"), "*") if m > 1 else cur.select(F.lit(0).alias("set"), "*")
+    cur = materialize(cur, "impute")
+    for turn in range(1, max_iter + 1):
+        for t in plan.targets:
+            xs = [e for c in names if c != t for e in plan.enter(c)]
+            x = F.array(*xs).alias("x") if xs else F.array().cast("array<double>").alias("x")
+            known = ~F.col(miss[t])
+            gram, n = gramian(cur.select("set", x, F.when(known, plan.code(t)).alias("y")), m, len(xs))
+            both = [draw(gram[s], normals(0, seed, s, turn, t)) for s in range(m)]      # m small vectors
+            table = F.array(*[F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in b]) for b in both])
+            row = F.element_at(F.element_at(table, F.col("set") + 1), F.when(known, 1).otherwise(2))
+            yhat = F.aggregate(F.zip_with(F.concat(F.array(F.lit(1.0)), x), row, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+            scored = cur.select("*", yhat.alias("__yhat"), known.alias("__donor"))
+            pick = hashed_pick(id_col, f"{seed}:{t}:{turn}") if m == 1 else F.when(
+                F.col("set") == 0, hashed_pick(id_col, f"{seed}:{t}:{turn}")).otherwise(
+                F.pmod(F.xxhash64(F.col(id_col), F.col("set"), F.lit(f"{seed}:{t}:{turn}")), F.lit(1 << 30)))
+            filled = matched(scored, id_col, [t], k, pick, ["__fill"], set_col="set")
+            cur = filled.withColumn(t, F.coalesce("__fill", F.col(f"`{t}`"))).drop("__fill")
+    return cur.select("set", id_col, *[F.col(f"`{c}`").cast(kinds[c]).alias(c) for c in names])
+
+
+def impute_pmm(df: DataFrame, id_col: str, targets: Sequence[str], predictors: Sequence[str],
+               *, k: int = 5, max_iter: int = 5, seed: str = "123") -> DataFrame:
+    """M4: the rows with the null ``targets`` of the first completed set; the
+    other sets don't enter it, so they are not drawn here (see
+    :func:`impute_sets`).  A target without any known value stays null."""
+    done = impute_sets(df, id_col, targets, predictors, m=1, k=k, max_iter=max_iter, seed=seed)
+    filled = [t for t in targets if t in done.columns]
+    if not filled:
+        return df
+    fills = done.select(F.col(id_col).alias("__id"), *[F.col(f"`{t}`").alias(f"__f{i}") for i, t in enumerate(filled)])
+    out = df.join(fills, F.col(id_col) == F.col("__id"), "left")
+    place = {t: i for i, t in enumerate(filled)}
+    return out.select(*[F.coalesce(F.col(f"`{c}`"), F.col(f"__f{place[c]}")).alias(c) if c in place else F.col(f"`{c}`")
+                        for c in df.columns])

@@ -3,30 +3,31 @@
 Spark ML's ``LogisticRegression(family="multinomial")`` minimises the same
 objective form as the reference's solver: weighted mean log-loss +
 lambda * ((1 - alpha)/2 * ||B||^2 + alpha * ||B||_1), without internal
-standardisation (the design is scaled explicitly, L6).  The driver loops
-only over hyper-parameters and folds; every fit, prediction and metric is
-a distributed Spark job.
+standardisation (the design is scaled explicitly, L6).  The searches run in
+shared passes (:mod:`attrition.operators.path`); the final model is fitted by
+Spark ML at the alpha and lambda that they choose.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass, replace
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import asdict, dataclass
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.stat import Summarizer
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from attrition.operators import path as PA
 from attrition.operators import split as S
 from attrition.operators.encode import Design, assemble, fit_design
 from attrition.operators.selection import cardinality_guard, cumulative_select, forest_importance
-from attrition.session import materialize
+from attrition.session import materialize, shared_folder
 from attrition.sources.sinks import sink_model
 
 
@@ -42,13 +43,15 @@ class ModelConfig:
     n_lambdas: int = 100
     lambda_ratio: float = 1e-3
     max_iter: int = 100
-    parallelism: int = 4
+    tol: float = 1e-5               # how far from the optimality conditions a path's models may be
+    parallelism: int = 4            # outer folds whose features are selected at once
     seed: int = 123
     share: float = 0.95
     num_trees: int = 100
     min_leaf: int = 50
     max_depth: int = 6
     max_levels: int = 53
+    ledger: str | None = None       # folder of the search ledger; None: under spark.checkpoint.dir
 
 
 def with_label_index(df: DataFrame, label: str, classes: Sequence[str], out: str = "label") -> DataFrame:
@@ -57,38 +60,6 @@ def with_label_index(df: DataFrame, label: str, classes: Sequence[str], out: str
     return df.withColumn(out, (F.array_position(arr, F.col(label)) - 1).cast("double"))
 
 
-def lambda_max(gradient: float, alpha: float) -> float:
-    """Smallest lambda with all coefficients zero: the largest gradient at the
-    intercept-only fit divided by alpha (floored at 1e-3 for ridge)."""
-    return gradient / max(alpha, 1e-3)
-
-
-def null_gradient(vec: DataFrame, label: str = "label", weight: str = "weight", features: str = "features") -> float:
-    """Max |gradient| at the intercept-only fit, from ONE grouped aggregation
-    (K rows of p-vectors reach the driver).  No alpha is involved."""
-    rows = (vec.groupBy(label)
-            .agg(Summarizer.metrics("sum").summary(F.col(features), F.col(weight)).alias("s"),
-                 F.sum(weight).alias("w"))
-            .select(label, F.col("s.sum").alias("sum"), "w").collect())
-    total_w = sum(r["w"] for r in rows)
-    p = len(rows[0]["sum"]) if rows else 0
-    sums = {r[label]: r["sum"].toArray().tolist() for r in rows}   # weighted sums per class
-    tot = [sum(s[j] for s in sums.values()) for j in range(p)]
-    g = 0.0
-    for r in rows:
-        pk = r["w"] / total_w
-        for j in range(p):
-            g = max(g, abs((sums[r[label]][j] - pk * tot[j]) / total_w))
-    return g
-
-
-def lambda_grid(lmax: float, n: int, ratio: float) -> list[float]:
-    """Geometric grid from lambda_max down, largest first."""
-    if n == 1:
-        return [lmax]
-    return [lmax * ratio ** (i / (n - 1)) for i in range(n)]
-
-
 def elastic_net(alpha: float, lam: float, max_iter: int = 100) -> LogisticRegression:
     """The estimator."""
     return LogisticRegression(family="multinomial", elasticNetParam=float(alpha), regParam=float(lam),
@@ -96,25 +67,6 @@ def elastic_net(alpha: float, lam: float, max_iter: int = 100) -> LogisticRegres
                               labelCol="label", featuresCol="features", maxIter=max_iter, tol=1e-6)
 
 
-def lambda_search(vec: DataFrame, gradient: float, alpha: float, cfg: ModelConfig) -> tuple[float, list[tuple]]:
-    """Inner cross-validation of lambda by weighted accuracy; ties go
-    to the largest lambda (the grid is in decreasing order and the first
-    maximum wins).  Folds are those of the ``inner`` column (0 ..), so they
-    don't depend on how the rows lie in partitions.  Returns (best lambda,
-    [(lambda, mean accuracy, sd)])."""
-    lams = lambda_grid(lambda_max(gradient, alpha), cfg.n_lambdas, cfg.lambda_ratio)
-    lr = elastic_net(alpha, lams[0], cfg.max_iter)
-    grid = ParamGridBuilder().addGrid(lr.regParam, lams).build()
-    ev = MulticlassClassificationEvaluator(metricName="accuracy", labelCol="label", weightCol="weight")
-    cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=ev, numFolds=cfg.inner_folds,
-                        foldCol="inner", seed=cfg.seed, parallelism=cfg.parallelism)
-    m = cv.fit(vec)
-    sds = list(m.stdMetrics) if getattr(m, "stdMetrics", None) else [float("nan")] * len(grid)
-    path = [(pm[lr.regParam], float(a), float(sd)) for pm, a, sd in zip(grid, m.avgMetrics, sds)]
-    best = max(range(len(path)), key=lambda i: (path[i][1], -i))
-    return path[best][0], path
-
-
 def select_features(train: DataFrame, label: str, candidates: Sequence[str], cfg: ModelConfig) -> tuple[list[str], DataFrame]:
     """Forest importance on the candidates that pass the cardinality guard,
     then the cumulative-share prefix (L1 -> L2 -> L3)."""
@@ -142,32 +94,96 @@ class FittedModel:
     lambda_path: list[tuple[float, float]]
 
 
-def fit_alphas(train: DataFrame, label: str, selected: Sequence[str], classes: Sequence[str], alphas: Sequence[float],
-               cfg: ModelConfig, id_col: str = "id") -> list[FittedModel]:
-    """Class weights, inner folds and the design on the selected features,
-    once; then for every alpha the lambda search and the fit.  A row with a
-    null in a selected number column is an error: impute first."""
-    w = S.attach_weights(train, S.class_weights(train, label), label)
-    w = S.stratified_folds(w, label, id_col, cfg.inner_folds, f"{cfg.seed}:inner", out="inner")
-    w = w.withColumn("inner", F.col("inner") - 1)
-    design = fit_design(w, selected)
-    vec = assemble(with_label_index(w, label, classes), design, keep=[id_col, "label", "weight", "inner"], invalid="error")
-    vec = vec.persist()
-    try:
-        gradient, fits = null_gradient(vec), []
-        for alpha in alphas:
-            lam, path = lambda_search(vec, gradient, alpha, cfg)
-            model = elastic_net(alpha, lam, cfg.max_iter).fit(vec)
-            fits.append(FittedModel(model, design, list(classes), float(alpha), lam, list(selected), path))
-        return fits
-    finally:
-        vec.unpersist()
+@dataclass
+class Part:
+    """One set of training rows of a search: its design, class weights and the
+    column that tells a row's inner fold, validation or neither."""
+    design: Design
+    weights: dict[str, float]
+    parts: Column
+    folds: int
+
+
+def shared_rows(df: DataFrame, label: str, classes: Sequence[str], parts: Sequence[Part], alphas: Sequence[float],
+                id_col: str) -> tuple[DataFrame, list[PA.Group], list[list[int]]]:
+    """What the shared passes read: every design column of any part once,
+    centred and scaled by the first part that has it; per part the scale and
+    shift that make them its own standardised columns, and their places."""
+    where: dict[tuple, int] = {}
+    columns, centre = [], []
+    for part in parts:
+        for name, feature, level in part.design.columns:
+            if (feature, level) not in where:
+                where[feature, level] = len(columns)
+                m, s = part.design.means[name], part.design.sds[name]
+                scaled = s is not None and s > 0
+                centre.append((m, s) if scaled else (0.0, 1.0))
+                columns.append((part.design.expr(name) - F.lit(centre[-1][0])) / F.lit(centre[-1][1]))
+    groups, places = [], []
+    for part in parts:
+        scale, shift, own = np.zeros(len(columns)), np.zeros(len(columns)), []
+        for name, feature, level in part.design.columns:
+            j = where[feature, level]
+            m, s = part.design.means[name], part.design.sds[name]
+            m, s = (m, s) if s is not None and s > 0 else (0.0, 1.0)
+            scale[j], shift[j] = centre[j][1] / s, (centre[j][0] - m) / s
+            own.append(j)
+        groups.append(PA.Group(scale, shift, np.array([part.weights.get(c, 0.0) for c in classes]), part.folds, tuple(alphas)))
+        places.append(own)
+    index = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(label)) - 1
+    rows = PA.rows_of(df.where(F.col(label).isin(list(classes))), id_col, index, [p.parts for p in parts], columns)
+    # as many tasks as the cluster takes where the table is small; larger ones stay as they lie
+    least = df.sparkSession.sparkContext.defaultParallelism
+    return (rows.repartition(least) if rows.rdd.getNumPartitions() < least else rows), groups, places
+
+
+def part_of(df: DataFrame, label: str, selected: Sequence[str], parts: Column, folds: int) -> Part:
+    """Design and class weights of the rows of a part that train."""
+    train = df.where(parts >= 0)
+    weights = {r["class"]: r["weight"] for r in S.class_weights(train, label).collect()}    # one row for each class
+    return Part(fit_design(train, selected), weights, parts, folds)
+
+
+def fingerprint(df: DataFrame) -> str:
+    """Hash of a table's rows in any order."""
+    r = df.select(F.xxhash64(*[F.col(f"`{c}`") for c in sorted(df.columns)]).alias("h")).agg(
+        F.count("*").alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("s"), F.bit_xor("h").alias("x")).first()
+    return f"{r['n']}:{r['s']}:{r['x']}"
+
+
+def ledger_of(df: DataFrame, cfg: ModelConfig, *what) -> PA.Ledger | None:
+    """The ledger of a search over these rows with this configuration, in the
+    folder that all applications share."""
+    path = cfg.ledger or shared_folder(df.sparkSession, "search-ledger")
+    if path is None:
+        return None
+    told = [repr(w) for w in what] + [f"{k}={v!r}" for k, v in sorted(asdict(cfg).items()) if k not in ("ledger", "parallelism")]
+    key = hashlib.sha256("\n".join([fingerprint(df), *told]).encode()).hexdigest()[:32]
+    return PA.Ledger(df.sparkSession, path, key)
 
 
 def fit_final(train: DataFrame, label: str, selected: Sequence[str], classes: Sequence[str], alpha: float,
               cfg: ModelConfig, id_col: str = "id") -> FittedModel:
-    """The final model: one alpha, lambda searched over ``final_folds``."""
-    return fit_alphas(train, label, selected, classes, [alpha], replace(cfg, inner_folds=cfg.final_folds), id_col)[0]
+    """The final model: one alpha, lambda searched over ``final_folds`` (by
+    weighted accuracy; ties go to the largest lambda), fitted by Spark ML on all
+    training rows.  A row with a null in a selected number column is an error:
+    impute first.  Folds go by the hash of the id, so they don't depend on how
+    the rows lie in partitions."""
+    df = S.stratified_folds(train.select(id_col, label, *selected), label, id_col, cfg.final_folds, f"{cfg.seed}:inner", out="_part")
+    df = materialize(df.withColumn("_part", F.col("_part") - 1), "final-folds")
+    part = part_of(df, label, selected, F.col("_part"), cfg.final_folds)
+    rows, groups, _ = shared_rows(df, label, classes, [part], [alpha], id_col)
+    rows = rows.persist()
+    try:
+        found = PA.search(rows, groups, len(groups[0].scale), len(classes), cfg.n_lambdas, cfg.lambda_ratio, tol=cfg.tol,
+                          ledger=ledger_of(df, cfg, "final", label, tuple(selected), tuple(classes), alpha))[0][alpha]
+    finally:
+        rows.unpersist()
+    lam = found.lambdas[found.best()]
+    weighted = S.attach_weights(df, S.class_weights(df, label), label)
+    vec = assemble(with_label_index(weighted, label, classes), part.design, keep=[id_col, "label", "weight"], invalid="error")
+    model = elastic_net(alpha, lam, cfg.max_iter).fit(vec)
+    return FittedModel(model, part.design, list(classes), float(alpha), float(lam), list(selected), found.curve())
 
 
 def save_model(fm: FittedModel, path: str, caps: dict) -> None:
@@ -201,33 +217,79 @@ def predict(fm: FittedModel, df: DataFrame, id_col: str = "id", keep: Sequence[s
                       F.when(known, F.col("_p")).alias("probs"), classes.alias("classes"))
 
 
-def alpha_grid(train: DataFrame, label: str, candidates: Sequence[str], classes: Sequence[str],
-               cfg: ModelConfig, id_col: str = "id") -> tuple[DataFrame, DataFrame]:
-    """Nested CV over alpha x outer stratified folds.  Forest selection
-    does not depend on alpha, so it runs once per fold (not per alpha).
-    So do weights, levels, scaling and design.  Returns long results
-    ``(alpha, fold, accuracy, lambda, n_features)`` and written predictions
-    ``(alpha, fold, id, actual, predicted)``; every validation row is scored
-    once for each alpha."""
-    spark = train.sparkSession
-    tf = materialize(S.stratified_folds(train, label, id_col, cfg.folds, cfg.seed), "folds")
-    fits, preds = [], None
-    for fold in range(1, cfg.folds + 1):
-        tr, va = tf.filter(F.col("fold") != fold).drop("fold"), tf.filter(F.col("fold") == fold).drop("fold")
-        selected, _ = select_features(tr, label, candidates, cfg)
-        scored = None
-        for fm in fit_alphas(tr, label, selected, classes, cfg.alphas, cfg, id_col):
-            p = predict(fm, va, id_col, keep=[label]).select(
-                F.lit(fm.alpha).alias("alpha"), F.lit(fold).alias("fold"), id_col, F.col(label).alias("actual"), "predicted")
-            scored = p if scored is None else scored.unionByName(p)
-            fits.append((fm.alpha, fold, float(fm.lam), len(selected)))
-        scored = materialize(scored, "fold-predictions")
-        preds = scored if preds is None else preds.unionByName(scored)
+@dataclass
+class GridSearch:
+    """Nested cross-validation: results ``(alpha, fold, accuracy, lambda,
+    n_features)``, predictions ``(alpha, fold, id, actual, predicted)``, the
+    inner curves ``(alpha, fold, lambda, cv_accuracy, cv_sd)`` and the outer
+    folds' whole coefficient paths ``(alpha, fold, lambda, feature, class,
+    coefficient)``."""
+    results: DataFrame
+    predictions: DataFrame
+    curves: DataFrame
+    paths: DataFrame
+
+
+def grid_search(train: DataFrame, label: str, candidates: Sequence[str], classes: Sequence[str],
+                cfg: ModelConfig, id_col: str = "id") -> GridSearch:
+    """Nested CV over alpha x outer stratified folds.  Forest selection,
+    weights, levels, scaling and design are done once per outer fold; all
+    outer folds, alphas and inner folds then run in the same passes
+    (:mod:`attrition.operators.path`).  Every validation row is scored once for
+    each alpha."""
+    spark, n = train.sparkSession, cfg.folds
+    tf = materialize(S.stratified_folds(train, label, id_col, n, cfg.seed), "folds")
+    # inner folds of the rows outside each outer fold, numbered in one go
+    inner = tf.select(id_col, label, "fold", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("_k")).where("fold <> _k")
+    inner = inner.withColumn("_class", F.concat_ws(":", F.col("_k").cast("string"), F.col(label)))
+    inner = S.stratified_folds(inner, "_class", id_col, cfg.inner_folds, f"{cfg.seed}:inner", out="_inner")
+    inner = inner.groupBy(F.col(id_col).alias("_id")).agg(*[
+        F.coalesce(F.max(F.when(F.col("_k") == k, F.col("_inner") - 1)), F.lit(PA.VALIDATION)).alias(f"_part{k}") for k in range(1, n + 1)])
+    tf = materialize(tf.join(inner, F.col(id_col) == F.col("_id")).drop("_id"), "folds")
+    def prepared(k: int) -> tuple[list[str], Part]:
+        column = F.col(f"_part{k}")
+        selected, _ = select_features(tf.where(column >= 0), label, candidates, cfg)
+        return selected, part_of(tf, label, selected, column, cfg.inner_folds)
+
+    with ThreadPoolExecutor(max(1, cfg.parallelism)) as pool:      # one outer fold's jobs beside another's
+        chosen, parts = map(list, zip(*pool.map(prepared, range(1, n + 1))))
+    rows, groups, places = shared_rows(tf, label, classes, parts, cfg.alphas, id_col)
+    rows = rows.persist()
+    try:
+        width = len(groups[0].scale)
+        ledger = ledger_of(tf.select(id_col, label, *candidates), cfg, "grid", label, tuple(classes), tuple(map(tuple, chosen)))
+        found = PA.search(rows, groups, width, len(classes), cfg.n_lambdas, cfg.lambda_ratio, tol=cfg.tol, ledger=ledger)
+        best = [(g, a, PA.shared_coefficients(groups[g], f.coefficients[f.best()])) for g in range(n) for a, f in found[g].items()]
+        preds = PA.predictions(rows, best, classes, len(groups), width, dict(train.dtypes)[id_col])
+        preds = materialize(preds.select("alpha", (F.col("group") + 1).alias("fold"), F.col("id").alias(id_col), "actual",
+                                         "predicted"), "fold-predictions")
+    finally:
+        rows.unpersist()
     hit = F.coalesce((F.col("actual") == F.col("predicted")).cast("double"), F.lit(0.0))
     got = {(r["alpha"], r["fold"]): r["accuracy"] for r in      # one row for each fit
            preds.groupBy("alpha", "fold").agg(F.avg(hit).alias("accuracy")).collect()}
-    rows = [(alpha, fold, got.get((alpha, fold), 0.0), lam, n) for alpha, fold, lam, n in fits]
-    return spark.createDataFrame(rows, "alpha double, fold int, accuracy double, lambda double, n_features int"), preds
+    every = [(a, g + 1, f) for g in range(n) for a, f in found[g].items()]
+    results = [(a, fold, got.get((a, fold), 0.0), float(f.lambdas[f.best()]), len(chosen[fold - 1])) for a, fold, f in every]
+    curves = [(a, fold, *point) for a, fold, f in every for point in f.curve()]
+    # one row for each lambda on the driver; the cells are unrolled by Spark
+    names = [[c[0] for c in p.design.columns] for p in parts]
+    paths = [(a, fold, float(lam), names[fold - 1], b[1:][places[fold - 1]].tolist()) for a, fold, f in every
+             for lam, b in zip(f.lambdas, f.coefficients)]
+    paths = spark.createDataFrame(paths, "alpha double, fold int, lambda double, names array<string>, cells array<array<double>>")
+    cell = F.explode(F.arrays_zip("names", "cells")).alias("cell")
+    paths = paths.select("alpha", "fold", "lambda", cell).select(
+        "alpha", "fold", "lambda", F.col("cell.names").alias("feature"),
+        F.explode(F.arrays_zip(F.array(*[F.lit(c) for c in classes]).alias("class"), F.col("cell.cells").alias("coefficient"))).alias("c"))
+    return GridSearch(spark.createDataFrame(results, "alpha double, fold int, accuracy double, lambda double, n_features int"), preds,
+                      spark.createDataFrame(curves, "alpha double, fold int, lambda double, cv_accuracy double, cv_sd double"),
+                      materialize(paths.select("alpha", "fold", "lambda", "feature", "c.class", "c.coefficient"), "paths"))
+
+
+def alpha_grid(train: DataFrame, label: str, candidates: Sequence[str], classes: Sequence[str],
+               cfg: ModelConfig, id_col: str = "id") -> tuple[DataFrame, DataFrame]:
+    """Results and predictions of :func:`grid_search`."""
+    g = grid_search(train, label, candidates, classes, cfg, id_col)
+    return g.results, g.predictions
 
 
 def alpha_summary(results: DataFrame) -> DataFrame:

@@ -149,6 +149,8 @@ class Training:
     classes: list
     results: DataFrame
     cv_preds: DataFrame
+    curves: DataFrame
+    paths: DataFrame
     best_alpha: float
     fitted: MD.FittedModel
     bounds: dict
@@ -171,12 +173,13 @@ def train(customers: DataFrame, cfg: MD.ModelConfig = WHOLE, roles: Roles = Role
     tr, te = split.filter("is_train").drop("is_train"), split.filter("NOT is_train").drop("is_train")
     classes = sorted(r[0] for r in tr.select("target").distinct().collect() if r[0] is not None)
     candidates = [c for c in tr.columns if c not in roles.exclude]
-    results, cv_preds = MD.alpha_grid(tr, "target", candidates, classes, cfg, roles.id)
-    results = materialize(results, "cv-results")
+    grid = MD.grid_search(tr, "target", candidates, classes, cfg, roles.id)
+    results, cv_preds = materialize(grid.results, "cv-results"), grid.predictions
+    curves = materialize(grid.curves, "cv-curves")
     best = MD.best_alpha(MD.alpha_summary(results)).first()["alpha"]
     selected, _ = MD.select_features(tr, "target", candidates, cfg)
     fitted = MD.fit_final(tr, "target", selected, classes, best, cfg, roles.id)
-    return Training(prepared, tr, te, L.cohort_new(lab), classes, results, cv_preds, best, fitted, bounds, roles)
+    return Training(prepared, tr, te, L.cohort_new(lab), classes, results, cv_preds, curves, grid.paths, best, fitted, bounds, roles)
 
 
 def too_many_labels(df: DataFrame, most: int) -> int:

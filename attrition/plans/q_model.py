@@ -18,7 +18,7 @@ from attrition.operators import interpret as IN
 from attrition.operators import modeling as MD
 from attrition.operators import selection as SE
 from attrition.operators import split as S
-from attrition.operators.impute import impute_pmm, pmm_donor_match
+from attrition.operators.impute import impute_pmm, impute_sets, pmm_donor_match
 from attrition.plans import flows
 from attrition.plans.base import (ADDONS, LAB_SQL, PROBS_SQL, PROTECTION, RELABEL_SQL, STREAMING, labeled_df,
                                   modeling_df, modeling_table, new_cohort_df, with_sql)
@@ -406,6 +406,14 @@ def q_impute_pmm(spark, d):
     return impute_pmm(m, "id", flows.IMPUTE_TARGETS, flows.IMPUTE_PREDICTORS)
 
 
+@register("impute_sets")
+def q_impute_sets(spark, d):
+    """M4: all five completed sets, long, from the same passes (rows check)."""
+    m = modeling_df(spark, d).select("id", *flows.IMPUTE_PREDICTORS, *flows.IMPUTE_TARGETS)
+    m = materialize(m, "impute-input")
+    return impute_sets(m, "id", flows.IMPUTE_TARGETS, flows.IMPUTE_PREDICTORS)
+
+
 # --- model flows (rows-only) ------------------------------------------------
 @register("forest_importance")
 def q_forest_importance(spark, d):
@@ -422,6 +430,12 @@ def q_alpha_grid(spark, d):
     return flows.training_flow(spark, d).results
 
 
+@register("alpha_paths")
+def q_alpha_paths(spark, d):
+    """Inner-CV accuracy by lambda of every (alpha, outer fold)."""
+    return flows.training_flow(spark, d).curves
+
+
 @register("lambda_search")
 def q_lambda_search(spark, d):
     """Inner-CV accuracy along the lambda path of the final model."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -84,6 +85,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def shared_folder(spark: SparkSession, name: str) -> str | None:
+    """A sub-folder of the folder that ``spark.checkpoint.dir`` names, the same
+    one for all applications; None where the setting is not made."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{configured.rstrip('/')}/{name}" if configured else None
+
+
 def materialize(df, name: str = "stage"):
     """Cut lineage by writing ``df`` as parquet under the shared checkpoint
     folder and reading it back.  Like a reliable checkpoint it survives
@@ -97,6 +105,17 @@ def materialize(df, name: str = "stage"):
     return spark.read.parquet(path)
 
 
+def python_workers(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this library from where the driver has it
+    (same place on every machine; else send it with ``--py-files``), one thread
+    of linear algebra for each task."""
+    env = spark.sparkContext.environment
+    env.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[1]))
+    for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS"):
+        env.setdefault(name, "1")
+    return spark
+
+
 def cluster_conf(input_bytes: int, target_partition_bytes: int = 256 << 20) -> dict:
     """Settings sized for a cluster run over ``input_bytes`` of parquet:
     scan splits and the initial shuffle width aim at ~256 MB partitions

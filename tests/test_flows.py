@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 from attrition.operators import modeling as MD
 from attrition.plans import flows
 
-TINY = MD.ModelConfig(alphas=(0.0,), folds=2, inner_folds=2, n_lambdas=2, max_iter=25, num_trees=5,
-                      parallelism=2)
+TINY = MD.ModelConfig(alphas=(0.0,), folds=2, inner_folds=2, n_lambdas=2, num_trees=5)
 
 
 @pytest.fixture(scope="module")

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from attrition.operators import modeling as MD
 from attrition.plans import flows
 
-TINY = MD.ModelConfig(alphas=(0.0, 1.0), folds=2, inner_folds=2, final_folds=2, n_lambdas=2, max_iter=15, num_trees=5,
-                      parallelism=2)
+TINY = MD.ModelConfig(alphas=(0.0, 1.0), folds=2, inner_folds=2, final_folds=2, n_lambdas=2, num_trees=5)
 HEADER = ("Customer ID,Age,Zip Code,Tenure in Months,Phone Service,Multiple Lines,Online Security,Streaming TV,Contract,"
           "Payment Method,Monthly Charge,Total Charges,Avg Monthly GB Download,Customer Status,Churn Category,Churn Reason")
 
