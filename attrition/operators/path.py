@@ -12,7 +12,7 @@ active columns minimises a quadratic model of the loss plus the penalty, and a
 check of the optimality conditions over all columns decides whether more
 columns become active.  The quadratic model's Hessian is that of the (group,
 alpha)'s model on all rows, summed up anew every ``REFRESH`` passes and shared by
-the models that leave a fold out; where it is wider than ``HESSIAN_BYTES`` in
+the models that leave a fold out (a slow one gets its own); where it is wider than ``HESSIAN_BYTES`` in
 all, the class curvature times the Gramian of the model's rows stands in for
 it.  A step that raises the objective is taken back with a stiffer model, so
 every accepted step lowers it.  A model whose exact gradient meets the
@@ -50,6 +50,8 @@ CHUNK = 1024
 STRAIGHT = 64 << 20
 #: Passes for which a Hessian serves, and bytes of all Hessians together.
 REFRESH, HESSIAN_BYTES = 8, 128 << 20
+#: Passes at one lambda after which a model gets a Hessian of its own.
+SLOW = 6
 
 
 @dataclass
@@ -254,22 +256,23 @@ def residual(b: np.ndarray, gradient: np.ndarray, lam: np.ndarray, alpha: np.nda
     return np.abs(move * np.concatenate([np.ones_like(l2), np.broadcast_to(1 + l2, (len(b), b.shape[1] - 1, 1))], axis=1)).max(axis=(1, 2))
 
 
-def hessians(rows: DataFrame, asked: Sequence[tuple[int, np.ndarray, np.ndarray]], n_groups: int, n_columns: int,
+def hessians(rows: DataFrame, asked: Sequence[tuple[int, np.ndarray, np.ndarray, np.ndarray]], n_groups: int, n_columns: int,
              n_classes: int) -> list[np.ndarray]:
-    """Hessian of the loss of each asked model, (group, class weights,
-    coefficients models x (1 + columns) x classes), summed over its group's rows: models x
-    (1 + columns) x classes x (1 + columns) x classes."""
+    """Hessian of the loss of each asked model, (group, class weights, held-out
+    folds, coefficients models x (1 + columns) x classes), summed over the rows
+    that it trains on: models x (1 + columns) x classes x (1 + columns) x classes."""
     p, sc = n_columns + 1, rows.sparkSession.sparkContext
     told = sc.broadcast(list(asked))
 
     def work(batches):
-        total = [np.zeros((len(c), n_classes * p, n_classes * p)) for _, _, c in told.value]
+        total = [np.zeros((len(c), n_classes * p, n_classes * p)) for _, _, _, c in told.value]
         for batch in batches:
             for y_all, parts, x_all in _matrices(batch, n_groups, n_columns):
-                for (g, w, cs), h in zip(told.value, total):
+                for (g, w, hold, cs), h in zip(told.value, total):
                     at = parts[:, g] >= 0
-                    x, weight = x_all[at], w[y_all[at]]
+                    x, part, weights = x_all[at], parts[at, g], w[y_all[at]]
                     for m, c in enumerate(cs):
+                        weight = weights * (part != hold[m])
                         z = x @ c
                         z = np.exp(z - z.max(axis=1, keepdims=True))
                         z /= z.sum(axis=1, keepdims=True)
@@ -280,10 +283,10 @@ def hessians(rows: DataFrame, asked: Sequence[tuple[int, np.ndarray, np.ndarray]
                             h[m, own, own] += x.T @ (weight[:, None] * xz[:, own])
         return np.concatenate([h.ravel() for h in total])
 
-    sizes = [len(c) * (n_classes * p) ** 2 for _, _, c in asked]
+    sizes = [len(c) * (n_classes * p) ** 2 for _, _, _, c in asked]
     flat, out = _summed(rows, work, sum(sizes)), []
     told.destroy()
-    for (_, _, c), size in zip(asked, sizes):
+    for (_, _, _, c), size in zip(asked, sizes):
         out.append(flat[:size].reshape(len(c), n_classes, p, n_classes, p).transpose(0, 2, 1, 4, 3))
         flat = flat[size:]
     return out
@@ -391,9 +394,10 @@ def search(rows: DataFrame, groups: Sequence[Group], n_columns: int, n_classes:
     b = np.zeros((len(keys), n_columns + 1, n_classes))
     b[:, 0] = np.array(start)
 
+    passes = np.zeros(len(keys), int)
     whole = {(g, a): m for m, (g, a, f) in enumerate(keys) if f == NO_FOLD}
     place = {ga: i for i, ga in enumerate(whole)}
-    slot = np.array([place[g, a] for g, a, _ in keys])
+    slot, owner = np.array([place[g, a] for g, a, _ in keys]), list(whole.values())
     number = np.arange(len(keys)) - np.array([whole[g, a] for g, a, _ in keys])     # among those of its (group, alpha)
     per = int(number.max()) + 1
     exact = len(whole) * ((n_columns + 1) * n_classes) ** 2 * 8 <= HESSIAN_BYTES
@@ -446,29 +450,38 @@ def search(rows: DataFrame, groups: Sequence[Group], n_columns: int, n_classes:
     hessian = bounds = None
 
     def refresh(models: np.ndarray) -> None:
-        """Hessians of the (group, alpha)s that the models belong to, over
-        standardised columns, at the coefficients of the model on all rows."""
+        """Hessians that the models use, over standardised columns, each at its
+        owner's coefficients.  A model that is slow on the one it shares (its
+        own rows differ too much) gets one of its own, as long as there is room."""
         nonlocal hessian, bounds
-        if hessian is None:
-            hessian = np.zeros((len(whole), n_columns + 1, n_classes, (n_columns + 1) * n_classes))
-            bounds = np.zeros((len(whole), n_columns + 1, n_classes))
-        some = [ga for ga in whole if place[ga] in set(slot[models].tolist())]
+        size = ((n_columns + 1) * n_classes) ** 2 * 8
+        for m in models[passes[models] >= SLOW]:
+            if owner[slot[m]] != m and (len(owner) + 1) * size <= HESSIAN_BYTES:
+                owner.append(int(m))
+                slot[m], number[m] = len(owner) - 1, 0
+        if hessian is None or len(hessian) < len(owner):
+            more = len(owner) - (0 if hessian is None else len(hessian))
+            new = np.zeros((more, n_columns + 1, n_classes, (n_columns + 1) * n_classes))
+            hessian = new if hessian is None else np.concatenate([hessian, new])
+            edge = np.zeros((more, n_columns + 1, n_classes))
+            bounds = edge if bounds is None else np.concatenate([bounds, edge])
+        used = np.unique(slot[models])
         asked = []
-        for g in sorted({g for g, _ in some}):
-            m = np.array([whole[ga] for ga in some if ga[0] == g])
+        for g in np.unique(of[models]).tolist():
+            m = np.array([owner[i] for i in used if of[owner[i]] == g])
             c = b[m].copy()
             c[:, 0] += np.einsum("mj,mjk->mk", v[m], b[m][:, 1:])
             c[:, 1:] *= u[m][:, :, None]
-            asked.append((g, groups[g].weights, c, m))
-        for (g, _, _, ms), found_h in zip(asked, hessians(rows, [a[:3] for a in asked], len(groups), n_columns, n_classes)):
+            asked.append((g, groups[g].weights, hold[m], c, [i for i in used if of[owner[i]] == g]))
+        for (g, _, _, _, slots), found_h in zip(asked, hessians(rows, [a[:4] for a in asked], len(groups), n_columns, n_classes)):
             t = np.diag(np.concatenate([[1.0], groups[g].scale]))
             t[0, 1:] = groups[g].shift
-            for m, h in zip(ms, found_h):
+            for i, h in zip(slots, found_h):
                 # T' H T for each pair of classes
                 h = np.einsum("ia,ikjl->akjl", t, h)
-                h = np.einsum("akjl,jb->akbl", h, t) / total[m]
-                hessian[slot[m]] = h.reshape(n_columns + 1, n_classes, -1)
-                bounds[slot[m]] = bounded(np.einsum("jkjl->jkl", h))
+                h = np.einsum("akjl,jb->akbl", h, t) / total[owner[i]]
+                hessian[i] = h.reshape(n_columns + 1, n_classes, -1)
+                bounds[i] = bounded(np.einsum("jkjl->jkl", h))
 
     def move(models: np.ndarray) -> np.ndarray:
         """Next coefficients of the models, from the quadratic models."""
@@ -480,7 +493,7 @@ def search(rows: DataFrame, groups: Sequence[Group], n_columns: int, n_classes:
 
             def pull(live, j, delta):
                 # models of one (group, alpha) side by side: one product for each
-                side = np.zeros((len(whole), per, n_classes))
+                side = np.zeros((len(owner), per, n_classes))
                 side[at[live], number[models[live]]] = delta
                 return np.matmul(side, hessian[:, j])[at[live], number[models[live]]].reshape(len(live), n_columns + 1, n_classes)
             def polish(i, places):
@@ -500,7 +513,6 @@ def search(rows: DataFrame, groups: Sequence[Group], n_columns: int, n_classes:
                     bound, pull, polish)
 
     stiff = np.ones(len(keys))
-    passes = np.zeros(len(keys), int)
     lam = np.array([grid[m][min(at_step[m], n_lambdas - 1)] for m in everyone])
     running = at_step < n_lambdas
     n_passes = 0
