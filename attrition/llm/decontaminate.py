@@ -197,9 +197,11 @@ def blocks(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
     n = max(1, -(-int(total) // INDEX_CHARS))
     for b in range(n):
         part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b)
-        yield sorted(((r["item_id"], r["text"]) for r in part.collect()), key=lambda x: (x[0] is None, x))
+        yield sorted((NO_ITEM if r["item_id"] is None else r["item_id"], r["text"]) for r in part.collect())
 
 
+#: Stands for a null item id inside tasks.
+NO_ITEM = -(1 << 63)
 SCHEMA = "doc_id long, item_id long, n_regions long, start long, end long, edits long, q_grams long"
 
 
@@ -212,7 +214,7 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches, shared=shared):
             for batch in batches:
-                found = [(d, *m) for d, ms in zip(batch.column(0).to_pylist(),
+                found = [(d, None if m[0] == NO_ITEM else m[0], *m[1:]) for d, ms in zip(batch.column(0).to_pylist(),
                                                   column_matches(shared.value, batch.column(1))) for m in ms]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)],

@@ -34,14 +34,25 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     documents without words stay.  Rows that repeat a kept document in id and
     words are copies too: one stays."""
     found = hyperminhash.near_duplicates(docs, WORDS, SIMILAR, OF)
-    gone = found.where("node <> component").select("node").distinct()
-    node = F.coalesce(F.col("doc_id").cast("long"), F.lit(hyperminhash.LEAST))
-    again = found.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
-    rest = docs.withColumn("_node", node).join(gone.withColumnRenamed("node", "_node"), "_node", "left_anti")
-    # ids that occur once (all, as a rule) need no further look
-    single = rest.join(again.withColumnRenamed("node", "_node"), "_node", "left_anti")
-    many = rest.join(again.withColumnRenamed("node", "_node"), "_node", "left_semi").dropDuplicates(["_node", "text"])
-    return single.unionByName(many).select(*docs.columns)
+    id_, key, h1, h2 = (free_name(n, docs) for n in ("node", "key", "h1", "h2"))
+    gone = found.where("node <> component").select(F.col("node").alias(id_), F.col("s1").alias(h1), F.col("s2").alias(h2))
+    repeated = found.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select(F.col("node").alias(id_))
+    rows = docs.withColumn(id_, F.coalesce(F.col("doc_id").cast("long"), F.lit(hyperminhash.LEAST)))
+    # ids that occur once (all, as a rule) need no look at their words
+    single = rows.join(repeated, id_, "left_anti").join(gone.select(id_), id_, "left_anti")
+    # of the others a row goes by its own words, not by its id
+    many = rows.join(repeated, id_, "left_semi").withColumn(key, F.xxhash64("text"))
+    words = hyperminhash.signatures(many.select(F.col(key).alias("doc_id"), "text"), WORDS).select(
+        F.col("node").alias(key), F.col("s1").alias(h1), F.col("s2").alias(h2)).distinct()
+    many = many.join(words, key).join(gone, [id_, h1, h2], "left_anti").dropDuplicates([id_, h1, h2])
+    return single.select(*docs.columns).unionByName(many.select(*docs.columns))
+
+
+def free_name(name: str, docs: DataFrame) -> str:
+    """A column name that the documents don't have."""
+    while name in (c.lower() for c in docs.columns):
+        name = f"_{name}"
+    return name
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

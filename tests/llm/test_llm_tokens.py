@@ -298,3 +298,36 @@ def test_segments_chain_to_the_whole(spark, talk, monkeypatch):
 def test_empty_conversations(spark):
     from attrition.llm import conversation_repair as C
     assert C.repair(spark.createDataFrame([], TALK)).count() == 0
+
+
+# --- repairs of the earlier operators ----------------------------------------
+def test_a_text_stays_whose_id_also_has_a_copy(spark):
+    """Near duplicates go by row, not by id; an extra column keeps its values."""
+    import corpus_pipeline as P
+    from attrition.llm.common import find_modules
+    rng = random.Random(3)
+    a, b, c = words(rng, 60), words(rng, 60), words(rng, 60)
+    rows = [(1, a, 11, "p"), (2, a, 12, "q"), (2, b, 13, "r"), (2, b, 14, "s"), (3, None, 15, "t"), (4, c, 16, "u"), (None, c, 17, "v"),
+            (None, b + " end", 18, "w"), (5, "", 19, "x"), (5, " ", 20, "y")]
+    docs = find_modules(spark).createDataFrame(rows, "doc_id long, text string, _node long, key string")
+    got = [(r["doc_id"], r["text"]) for r in P.near_duplicate_stage(spark, docs, "").collect()]
+    assert Counter(t for _, t in got if t and t.strip()) == Counter({a: 1, c: 1, b + " end": 1})
+    assert (1, a) in got and (None, c) in got and (3, None) in got and sum(d == 5 for d, _ in got) == 1
+    kept = {r["_node"]: r["key"] for r in P.near_duplicate_stage(spark, docs, "").collect()}
+    assert all((n, k) in {(r[2], r[3]) for r in rows} for n, k in kept.items())
+    # an unrelated text under an id that is elsewhere a copy is not lost
+    rows = [(1, a, 1, "p"), (2, a, 2, "q"), (2, b, 3, "r"), (3, None, 4, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _node long, key string")
+    got = {(r["doc_id"], r["text"], r["_node"]) for r in P.near_duplicate_stage(spark, docs, "").collect()}
+    assert got == {(1, a, 1), (2, b, 3), (3, None, 4)}
+
+
+def test_benchmark_item_without_an_id(spark):
+    from attrition.llm import decontaminate as D
+    from attrition.llm.common import find_modules
+    rng = random.Random(6)
+    item = words(rng, 25)
+    bench = spark.createDataFrame([(None, item), (None, None), (3, "")], "item_id long, text string")
+    docs = find_modules(spark).createDataFrame([(1, "before " + item + " after"), (2, words(rng, 30))], "doc_id long, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in D.find(docs, bench).collect()] == [(1, None)]
+    assert [r["doc_id"] for r in D.clean(docs, bench).collect()] == [2]
