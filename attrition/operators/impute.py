@@ -99,7 +99,8 @@ def draw(gram: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.nda
     cross-products of one set: the posterior draw of Bayesian linear regression
     with a flat prior."""
     n, a, b, c = gram[0, 0], gram[:-1, :-1], gram[:-1, -1], gram[-1, -1]
-    a = a + np.diag(RIDGE * np.diag(a))
+    # a column that is 0 in all rows has no cross-products: its coefficient stays 0
+    a = a + np.diag(np.where(np.diag(a) > 0, RIDGE * np.diag(a), 1.0))
     fitted = np.linalg.solve(a, b)
     rss = max(c - 2 * fitted @ b + fitted @ gram[:-1, :-1] @ fitted, 0.0)
     sigma = np.sqrt(rss / rng.chisquare(max(n - len(fitted), 1.0)))

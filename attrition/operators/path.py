@@ -341,7 +341,7 @@ def step(b: np.ndarray, gradient: np.ndarray, lam: np.ndarray, alpha: np.ndarray
                 ridge = np.where(at < b.shape[2], 0.0, l2[i, 0])
                 lasso = np.where(at < b.shape[2], 0.0, l1[i, 0])
                 h = stiff[i] * polish(i, at)            # places x all
-                own = h[:, at] + np.diag(ridge + 1e-9 * (1e-12 + np.abs(np.diag(h[:, at]))))
+                own = h[:, at] + np.diag(ridge + 1e-9 * np.abs(np.diag(h[:, at])) + 1e-15)
                 d = -np.linalg.solve(own, q[i].ravel()[at] + ridge * x[at] + lasso * sign)
                 with np.errstate(divide="ignore", invalid="ignore"):
                     until_zero = np.where((lasso > 0) & (sign * (x[at] + d) < 0), -x[at] / d, 1.0)
