@@ -49,7 +49,7 @@ class ModelConfig:
     share: float = 0.95
     num_trees: int = 100
     min_leaf: int = 50
-    max_depth: int = 6
+    max_leaves: int = 50
     max_levels: int = 53
     ledger: str | None = None       # folder of the search ledger; None: under spark.checkpoint.dir
 
@@ -67,7 +67,8 @@ def elastic_net(alpha: float, lam: float, max_iter: int = 100) -> LogisticRegres
                               labelCol="label", featuresCol="features", maxIter=max_iter, tol=1e-6)
 
 
-def select_features(train: DataFrame, label: str, candidates: Sequence[str], cfg: ModelConfig) -> tuple[list[str], DataFrame]:
+def select_features(train: DataFrame, label: str, candidates: Sequence[str], cfg: ModelConfig,
+                    id_col: str | None = None) -> tuple[list[str], DataFrame]:
     """Forest importance on the candidates that pass the cardinality guard,
     then the cumulative-share prefix (L1 -> L2 -> L3)."""
     cats = [c for c in candidates if dict(train.dtypes)[c] == "string"]
@@ -78,7 +79,7 @@ def select_features(train: DataFrame, label: str, candidates: Sequence[str], cfg
         ok -= set(too_many)
     feats = [c for c in candidates if c in ok]
     imp = forest_importance(train, label, feats, [c for c in feats if c in cats], num_trees=cfg.num_trees,
-                            min_leaf=cfg.min_leaf, max_depth=cfg.max_depth, seed=cfg.seed)
+                            min_leaf=cfg.min_leaf, max_leaves=cfg.max_leaves, seed=cfg.seed, id_col=id_col)
     chosen = [r["feature"] for r in cumulative_select(imp, cfg.share).orderBy("rank").collect()]
     return chosen, imp
 
@@ -248,7 +249,7 @@ def grid_search(train: DataFrame, label: str, candidates: Sequence[str], classes
     tf = materialize(tf.join(inner, F.col(id_col) == F.col("_id")).drop("_id"), "folds")
     def prepared(k: int) -> tuple[list[str], Part]:
         column = F.col(f"_part{k}")
-        selected, _ = select_features(tf.where(column >= 0), label, candidates, cfg)
+        selected, _ = select_features(tf.where(column >= 0), label, candidates, cfg, id_col)
         return selected, part_of(tf, label, selected, column, cfg.inner_folds)
 
     with ThreadPoolExecutor(max(1, cfg.parallelism)) as pool:      # one outer fold's jobs beside another's

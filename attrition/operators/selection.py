@@ -5,12 +5,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from attrition.operators.forest import forest_gains
+
 MAX_LEVELS = 53
 
 
@@ -32,40 +31,14 @@ def cardinality_guard(df: DataFrame, cols: Sequence[str], max_levels: int = MAX_
 
 def forest_importance(train: DataFrame, label: str, features: Sequence[str],
                       categorical: Sequence[str] = (), *, num_trees: int = 100, min_leaf: int = 50,
-                      max_depth: int = 6, seed: int = 123, class_weighted: bool = True) -> DataFrame:
-    """L2: Gini importance per original column from a Spark random forest
-    (100 trees, at least 50 rows per leaf; depth 6 bounds the leaves at 64
-    where the reference caps them at 50).  Each categorical column is one
-    indexed slot, so every column gets one importance.
-
-    Spark's tree learner merges sibling leaves that predict the same class;
-    with a dominant class and 50-row leaves every tree collapses to its
-    root and all importances are zero.  The forest therefore trains with
-    the model's class weights N / (K * n_c) by default."""
-    from attrition.operators.split import attach_weights, class_weights
-    features = list(features)
-    if class_weighted:
-        train = attach_weights(train, class_weights(train, label), label, out="__w")
-    cats = [f for f in features if f in set(categorical)]
-    nums = [f for f in features if f not in set(categorical)]
-    stages = [StringIndexer(inputCol=c, outputCol=f"__ix_{c}", stringOrderType="alphabetAsc",
-                            handleInvalid="keep") for c in cats]
-    stages.append(StringIndexer(inputCol=label, outputCol="__label", stringOrderType="alphabetAsc"))
-    slots = [f"__ix_{c}" for c in cats] + nums
-    stages.append(VectorAssembler(inputCols=slots, outputCol="__features", handleInvalid="keep"))
-    max_bins = 32
-    if cats:
-        lv = level_counts(train, cats).agg(F.max("n_levels")).first()[0] or 0
-        max_bins = max(32, int(lv) + 1)
-    stages.append(RandomForestClassifier(featuresCol="__features", labelCol="__label", numTrees=num_trees,
-                                         minInstancesPerNode=min_leaf, maxDepth=max_depth, maxBins=max_bins,
-                                         seed=seed, impurity="gini",
-                                         **({"weightCol": "__w"} if class_weighted else {})))
-    model = Pipeline(stages=stages).fit(train.select(label, *features, *(["__w"] if class_weighted else [])))
-    imp = model.stages[-1].featureImportances.toArray().tolist()
-    names = cats + nums
-    rows = [(n, float(v)) for n, v in zip(names, imp)]
-    return train.sparkSession.createDataFrame(rows, "feature string, importance double")
+                      max_leaves: int = 50, seed: int = 123, id_col: str | None = None) -> DataFrame:
+    """L2: mean decrease of Gini impurity per original column over a forest
+    of 100 trees with at most 50 leaves of at least 50 rows, all classes
+    weighing the same (:mod:`attrition.operators.forest`).  Bootstrap draws go
+    by the hash of ``id_col`` (None: of the whole row)."""
+    gains, _ = forest_gains(train, label, features, categorical, num_trees=num_trees, min_leaf=min_leaf,
+                            max_leaves=max_leaves, seed=seed, id_col=id_col)
+    return train.sparkSession.createDataFrame(list(gains.items()), "feature string, importance double")
 
 
 def cumulative_select(importance: DataFrame, share: float = 0.95, score: str = "importance",

@@ -177,7 +177,7 @@ def train(customers: DataFrame, cfg: MD.ModelConfig = WHOLE, roles: Roles = Role
     results, cv_preds = materialize(grid.results, "cv-results"), grid.predictions
     curves = materialize(grid.curves, "cv-curves")
     best = MD.best_alpha(MD.alpha_summary(results)).first()["alpha"]
-    selected, _ = MD.select_features(tr, "target", candidates, cfg)
+    selected, _ = MD.select_features(tr, "target", candidates, cfg, roles.id)
     fitted = MD.fit_final(tr, "target", selected, classes, best, cfg, roles.id)
     return Training(prepared, tr, te, L.cohort_new(lab), classes, results, cv_preds, curves, grid.paths, best, fitted, bounds, roles)
 

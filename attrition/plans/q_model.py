@@ -421,7 +421,7 @@ def q_forest_importance(spark, d):
     t = flows.training_flow(spark, d)
     cands = [c for c in t.train.columns if c not in flows.EXCLUDE]
     cats = [c for c in cands if dict(t.train.dtypes)[c] == "string"]
-    return SE.forest_importance(t.train, "target", cands, cats, num_trees=flows.WHOLE.num_trees, seed=123)
+    return SE.forest_importance(t.train, "target", cands, cats, num_trees=flows.WHOLE.num_trees, seed=123, id_col="id")
 
 
 @register("alpha_grid")
