@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from attrition.operators import path as PA
 from attrition.operators import split as S
 from attrition.operators.encode import Design, assemble, fit_design
-from attrition.operators.selection import cardinality_guard, cumulative_select, forest_importance
+from attrition.operators.forest import forests
+from attrition.operators.selection import cumulative_select, within_levels
 from attrition.session import materialize, shared_folder
 from attrition.sources.sinks import sink_model
 
@@ -44,7 +45,7 @@ class ModelConfig:
     lambda_ratio: float = 1e-3
     max_iter: int = 100
     tol: float = 1e-5               # how far from the optimality conditions a path's models may be
-    parallelism: int = 4            # outer folds whose features are selected at once
+    parallelism: int = 4            # outer folds whose designs are fitted at once
     seed: int = 123
     share: float = 0.95
     num_trees: int = 100
@@ -67,21 +68,21 @@ def elastic_net(alpha: float, lam: float, max_iter: int = 100) -> LogisticRegres
                               labelCol="label", featuresCol="features", maxIter=max_iter, tol=1e-6)
 
 
-def select_features(train: DataFrame, label: str, candidates: Sequence[str], cfg: ModelConfig,
-                    id_col: str | None = None) -> tuple[list[str], DataFrame]:
-    """Forest importance on the candidates that pass the cardinality guard,
-    then the cumulative-share prefix (L1 -> L2 -> L3)."""
-    cats = [c for c in candidates if dict(train.dtypes)[c] == "string"]
-    ok = set(candidates)
-    if cats:
-        too_many = [r["feature"] for r in cardinality_guard(train, cats, cfg.max_levels)
-                    .filter("too_many_levels").collect()]
-        ok -= set(too_many)
-    feats = [c for c in candidates if c in ok]
-    imp = forest_importance(train, label, feats, [c for c in feats if c in cats], num_trees=cfg.num_trees,
-                            min_leaf=cfg.min_leaf, max_leaves=cfg.max_leaves, seed=cfg.seed, id_col=id_col)
-    chosen = [r["feature"] for r in cumulative_select(imp, cfg.share).orderBy("rank").collect()]
-    return chosen, imp
+def select_features(train: DataFrame, label: str, candidates: Sequence[str], cfg: ModelConfig, parts: Sequence[Column] = (),
+                    id_col: str | None = None) -> list[list[str]]:
+    """For each part of the rows (conditions; none: all): forest importance on
+    the candidates that pass the cardinality guard, then the cumulative-share
+    prefix (L1 -> L2 -> L3).  The parts' forests grow in the same passes."""
+    spark, cats = train.sparkSession, [c for c in candidates if dict(train.dtypes)[c] == "string"]
+    narrow = within_levels(train, cats, cfg.max_levels, parts) if cats else [[]] * max(1, len(parts))
+    features = [[c for c in candidates if c not in cats or c in own] for own in narrow]
+    grown = forests(train, label, features, cats, parts, num_trees=cfg.num_trees, min_leaf=cfg.min_leaf,
+                    max_leaves=cfg.max_leaves, seed=cfg.seed, id_col=id_col)
+    chosen = []
+    for gains, _ in grown:                                  # one row a feature
+        imp = spark.createDataFrame(list(gains.items()), "feature string, importance double")
+        chosen.append([r["feature"] for r in cumulative_select(imp, cfg.share).orderBy("rank").collect()])
+    return chosen
 
 
 @dataclass
@@ -152,15 +153,39 @@ def fingerprint(df: DataFrame) -> str:
     return f"{r['n']}:{r['s']}:{r['x']}"
 
 
+#: Part of every ledger key; raised with each change of the library that changes what a search or a forest finds.
+LEDGER_VERSION = 2
+
+
+def ledger_key(df: DataFrame, cfg: ModelConfig, *what) -> str:
+    """Hash of rows and configuration."""
+    told = [repr(w) for w in what] + [f"{k}={v!r}" for k, v in sorted(asdict(cfg).items()) if k not in ("ledger", "parallelism")]
+    return hashlib.sha256("\n".join([str(LEDGER_VERSION), fingerprint(df), *told]).encode()).hexdigest()[:32]
+
+
 def ledger_of(df: DataFrame, cfg: ModelConfig, *what) -> PA.Ledger | None:
     """The ledger of a search over these rows with this configuration, in the
     folder that all applications share."""
     path = cfg.ledger or shared_folder(df.sparkSession, "search-ledger")
+    return None if path is None else PA.Ledger(df.sparkSession, path, ledger_key(df, cfg, *what))
+
+
+def recalled_features(df: DataFrame, label: str, candidates: Sequence[str], cfg: ModelConfig, parts: Sequence[Column],
+                      id_col: str, held: DataFrame) -> list[list[str]]:
+    """:func:`select_features`, read from the ledger where an application has
+    written it for the same rows; ``held``: what the selection depends on."""
+    spark = df.sparkSession
+    path = cfg.ledger or shared_folder(spark, "search-ledger")
     if path is None:
-        return None
-    told = [repr(w) for w in what] + [f"{k}={v!r}" for k, v in sorted(asdict(cfg).items()) if k not in ("ledger", "parallelism")]
-    key = hashlib.sha256("\n".join([fingerprint(df), *told]).encode()).hexdigest()[:32]
-    return PA.Ledger(df.sparkSession, path, key)
+        return select_features(df, label, candidates, cfg, parts, id_col)
+    path = f"{path}-features/search={ledger_key(held, cfg, 'features', label, tuple(candidates), len(parts))}"
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        told = {r["part"]: r["features"] for r in spark.read.schema("part int, features array<string>").parquet(path).collect()}
+        return [list(told[k]) for k in range(len(parts))]
+    chosen = select_features(df, label, candidates, cfg, parts, id_col)
+    spark.createDataFrame(list(enumerate(chosen)), "part int, features array<string>").coalesce(1).write.mode("overwrite").parquet(path)
+    return chosen
 
 
 def fit_final(train: DataFrame, label: str, selected: Sequence[str], classes: Sequence[str], alpha: float,
@@ -224,18 +249,20 @@ class GridSearch:
     n_features)``, predictions ``(alpha, fold, id, actual, predicted)``, the
     inner curves ``(alpha, fold, lambda, cv_accuracy, cv_sd)`` and the outer
     folds' whole coefficient paths ``(alpha, fold, lambda, feature, class,
-    coefficient)``."""
+    coefficient)``.  ``selected``: the features of a forest over all rows."""
     results: DataFrame
     predictions: DataFrame
     curves: DataFrame
     paths: DataFrame
+    selected: list[str]
 
 
 def grid_search(train: DataFrame, label: str, candidates: Sequence[str], classes: Sequence[str],
                 cfg: ModelConfig, id_col: str = "id") -> GridSearch:
-    """Nested CV over alpha x outer stratified folds.  Forest selection,
-    weights, levels, scaling and design are done once per outer fold; all
-    outer folds, alphas and inner folds then run in the same passes
+    """Nested CV over alpha x outer stratified folds.  The forests of all
+    outer folds, and the one over all rows, grow in the same passes; weights,
+    levels, scaling and design are done once per outer fold; all outer folds,
+    alphas and inner folds then run in the same passes too
     (:mod:`attrition.operators.path`).  Every validation row is scored once for
     each alpha."""
     spark, n = train.sparkSession, cfg.folds
@@ -247,13 +274,11 @@ def grid_search(train: DataFrame, label: str, candidates: Sequence[str], classes
     inner = inner.groupBy(F.col(id_col).alias("_id")).agg(*[
         F.coalesce(F.max(F.when(F.col("_k") == k, F.col("_inner") - 1)), F.lit(PA.VALIDATION)).alias(f"_part{k}") for k in range(1, n + 1)])
     tf = materialize(tf.join(inner, F.col(id_col) == F.col("_id")).drop("_id"), "folds")
-    def prepared(k: int) -> tuple[list[str], Part]:
-        column = F.col(f"_part{k}")
-        selected, _ = select_features(tf.where(column >= 0), label, candidates, cfg, id_col)
-        return selected, part_of(tf, label, selected, column, cfg.inner_folds)
-
+    columns = [F.col(f"_part{k}") for k in range(1, n + 1)]
+    *chosen, selected = recalled_features(tf, label, candidates, cfg, [*[c >= 0 for c in columns], F.lit(True)], id_col,
+                                          tf.select(id_col, label, *candidates, *columns))
     with ThreadPoolExecutor(max(1, cfg.parallelism)) as pool:      # one outer fold's jobs beside another's
-        chosen, parts = map(list, zip(*pool.map(prepared, range(1, n + 1))))
+        parts = list(pool.map(lambda own, c: part_of(tf, label, own, c, cfg.inner_folds), chosen, columns))
     rows, groups, places = shared_rows(tf, label, classes, parts, cfg.alphas, id_col)
     rows = rows.persist()
     try:
@@ -283,7 +308,7 @@ def grid_search(train: DataFrame, label: str, candidates: Sequence[str], classes
         F.explode(F.arrays_zip(F.array(*[F.lit(c) for c in classes]).alias("class"), F.col("cell.cells").alias("coefficient"))).alias("c"))
     return GridSearch(spark.createDataFrame(results, "alpha double, fold int, accuracy double, lambda double, n_features int"), preds,
                       spark.createDataFrame(curves, "alpha double, fold int, lambda double, cv_accuracy double, cv_sd double"),
-                      materialize(paths.select("alpha", "fold", "lambda", "feature", "c.class", "c.coefficient"), "paths"))
+                      materialize(paths.select("alpha", "fold", "lambda", "feature", "c.class", "c.coefficient"), "paths"), selected)
 
 
 def alpha_grid(train: DataFrame, label: str, candidates: Sequence[str], classes: Sequence[str],

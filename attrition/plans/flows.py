@@ -17,7 +17,7 @@ The driver only loops over hyper-parameters and folds.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +34,7 @@ from attrition.operators.impute import impute_pmm
 from attrition.operators.outliers import winsor_bounds, winsorize
 from attrition.operators.risk import PAYMENT_RULE, base_risk, risk_summary, score_new_cohort, score_risk
 from attrition.plans.base import ADDONS, LINES, PHONE, PROTECTION, SNAP_PAYMENT_RULE, STREAMING
-from attrition.session import materialize
+from attrition.session import local_folder, materialize
 from attrition.sources.csv import infer_numeric, scan_csv
 from attrition.sources.fixtures import snap
 from attrition.sources.sinks import sink_csv
@@ -177,8 +177,7 @@ def train(customers: DataFrame, cfg: MD.ModelConfig = WHOLE, roles: Roles = Role
     results, cv_preds = materialize(grid.results, "cv-results"), grid.predictions
     curves = materialize(grid.curves, "cv-curves")
     best = MD.best_alpha(MD.alpha_summary(results)).first()["alpha"]
-    selected, _ = MD.select_features(tr, "target", candidates, cfg, roles.id)
-    fitted = MD.fit_final(tr, "target", selected, classes, best, cfg, roles.id)
+    fitted = MD.fit_final(tr, "target", grid.selected, classes, best, cfg, roles.id)
     return Training(prepared, tr, te, L.cohort_new(lab), classes, results, cv_preds, curves, grid.paths, best, fitted, bounds, roles)
 
 
@@ -192,7 +191,9 @@ _CACHE: dict = {}
 
 
 def training_flow(spark: SparkSession, sf_dir: str, cfg: MD.ModelConfig = WHOLE) -> Training:
-    """Flow 1 on the snapshot of the given tables, once per application."""
+    """Flow 1 on the snapshot of the given tables, once per application; what
+    its searches find goes to the ledger, on a local master too."""
+    cfg = replace(cfg, ledger=cfg.ledger or local_folder(spark, "search-ledger"))
     key = (spark.sparkContext.applicationId, sf_dir, repr(cfg))
     if key not in _CACHE:
         _CACHE[key] = train(snap(spark, sf_dir), cfg, SNAP_ROLES, IMPUTE_ITERATIONS)
