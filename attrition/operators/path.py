@@ -46,12 +46,14 @@ OUTSIDE, VALIDATION = -2, -1
 NO_FOLD = -9
 #: Rows of a batch that a task multiplies at a time.
 CHUNK = 1024
-#: Bytes of partial sums that go straight to the driver; more are first added up by tasks.
-STRAIGHT = 64 << 20
+#: Bytes of partial sums that go straight to the driver; more are first added up by tasks, in slices of so many numbers.
+STRAIGHT, SLICE = 8 << 20, 1 << 16
+#: Tasks whose sums of a slice are added up at once; those of more are added in two steps.
+STEP = 64
 #: Passes for which a Hessian serves, and bytes of all Hessians together.
 REFRESH, HESSIAN_BYTES = 8, 128 << 20
-#: Passes at one lambda after which a model gets a Hessian of its own.
-SLOW = 6
+#: Passes at one lambda after which a model gets a Hessian of its own (SLOW), and after which that is summed up anew.
+STALE, SLOW = 2, 6
 
 
 @dataclass
@@ -141,23 +143,25 @@ def _matrices(batch: pa.RecordBatch, n_groups: int, n_columns: int):
 def _summed(rows: DataFrame, work, length: int) -> np.ndarray:
     """Sum over all tasks of the vector that ``work(batches)`` returns."""
     def run(batches):
-        out = work(batches)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()),
-                                          pa.array([out.tobytes()], pa.binary())], names=["slot", "sums"])
+        out, task = work(batches), TaskContext.get().partitionId()
+        for i in range(0, length, SLICE):
+            yield pa.RecordBatch.from_arrays([pa.array([i // SLICE], pa.int32()), pa.array([task], pa.int32()),
+                                              pa.array([out[i:i + SLICE].tobytes()], pa.binary())], names=["slice", "task", "sums"])
 
     def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(length)
-        for v in table["sums"]:
-            total += np.frombuffer(v.as_py())
-        return pa.table({"slot": pa.array([0], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
-
-    sums = rows.mapInArrow(run, "slot int, sums binary")
-    n = rows.rdd.getNumPartitions()
-    if n > 8 and n * length * 8 > STRAIGHT:
-        sums = sums.withColumn("slot", F.col("slot") % int(n ** 0.5)).groupBy("slot").applyInArrow(add, "slot int, sums binary")
+        total = sum(np.frombuffer(v.as_py()) for v in table["sums"])
+        return table.slice(0, 1).set_column(2, "sums", pa.array([total.tobytes()], pa.binary()))
+
+    schema = "slice int, task int, sums binary"
+    sums, n = rows.mapInArrow(run, schema), rows.rdd.getNumPartitions()
+    if n * length * 8 > STRAIGHT:
+        if n > STEP:
+            sums = sums.withColumn("task", F.col("task") % int(n ** 0.5)).groupBy("slice", "task").applyInArrow(add, schema)
+        sums = sums.groupBy("slice").applyInArrow(add, schema)
     total = np.zeros(length)
-    for v in sums.toArrow()["sums"]:
-        total += np.frombuffer(v.as_py())
+    got = sums.toArrow()
+    for i, v in zip(got["slice"].to_pylist(), got["sums"]):
+        total[i * SLICE:(i + 1) * SLICE] += np.frombuffer(v.as_py())
     return total
 
 
@@ -448,6 +452,7 @@ def search(rows: DataFrame, groups: Sequence[Group], n_columns: int, n_classes:
         if len(resumed):
             loss[resumed], accuracy[resumed], gradient[resumed], curvature[resumed] = evaluate(resumed, b[resumed])
     hessian = bounds = None
+    slot_known: list[int] = []                              # those that have a Hessian
 
     def refresh(models: np.ndarray) -> None:
         """Hessians that the models use, over standardised columns, each at its
@@ -465,9 +470,15 @@ def search(rows: DataFrame, groups: Sequence[Group], n_columns: int, n_classes:
             hessian = new if hessian is None else np.concatenate([hessian, new])
             edge = np.zeros((more, n_columns + 1, n_classes))
             bounds = edge if bounds is None else np.concatenate([bounds, edge])
-        used = np.unique(slot[models])
+        # a model's own one stays as it is while the model gets along with it
+        new = np.arange(len(slot_known), len(owner))
+        at = slot[models]
+        used = np.unique(np.concatenate([at[(at < len(whole)) | (passes[models] >= STALE)], new]))
+        slot_known.extend(new.tolist())
+        if not len(used):
+            return
         asked = []
-        for g in np.unique(of[models]).tolist():
+        for g in np.unique(of[[owner[i] for i in used]]).tolist():
             m = np.array([owner[i] for i in used if of[owner[i]] == g])
             c = b[m].copy()
             c[:, 0] += np.einsum("mj,mjk->mk", v[m], b[m][:, 1:])

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import getpass
 import tempfile
 import uuid
 from pathlib import Path
@@ -93,15 +92,6 @@ def shared_folder(spark: SparkSession, name: str) -> str | None:
     return f"{configured.rstrip('/')}/{name}" if configured else None
 
 
-def local_folder(spark: SparkSession, name: str) -> str | None:
-    """The same for a local master without the setting: a folder of this
-    machine's user that the next application finds again; None on a cluster."""
-    master = spark.sparkContext.master
-    if shared_folder(spark, name) or not master.startswith("local") or master.startswith("local-cluster"):
-        return None
-    return f"{tempfile.gettempdir()}/attrition-{getpass.getuser()}/{name}"
-
-
 def materialize(df, name: str = "stage"):
     """Cut lineage by writing ``df`` as parquet under the shared checkpoint
     folder and reading it back.  Like a reliable checkpoint it survives
