@@ -163,25 +163,56 @@ def impute_sets(df: DataFrame, id_col: str, targets: Sequence[str], predictors:
         x = F.col(f"`{c}`") if c in plan.strings else F.col(f"`{c}`").cast("double")
         return F.coalesce(x, F.lit(plan.start[c])).alias(c)
 
-    cur = df.select(F.col(id_col), *[F.col(f"`{t}`").isNull().alias(x) for t, x in miss.items()], *[start(c) for c in names])
-    cur = cur.select(F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("set"), "*") if m > 1 else cur.select(F.lit(0).alias("set"), "*")
+    every = df.select(F.col(id_col), *[F.col(f"`{t}`").isNull().alias(x) for t, x in miss.items()], *[start(c) for c in names])
+    gaps = F.array_contains(F.array(F.lit(False), *[F.col(x) for x in miss.values()]), True)
+    # rows without a gap are the same in all sets and rounds: they are kept once, and only lend their values
+    whole = materialize(every.where(~gaps).select(id_col, *names), "impute-whole")
+    cur = every.where(gaps).select(F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("set"), "*")
     cur = materialize(cur, "impute")
+    entries = {c: plan.enter(c) for c in names}
+    codes = [t for t in plan.targets if t in plan.strings]
+    columns = [e for c in names for e in entries[c]] + [plan.code(t) for t in codes]
+    whole_gram = gramian(whole.select(F.lit(0).alias("set"), F.array(*columns).cast("array<double>").alias("x"), F.lit(0.0).alias("y")),
+                         1, len(columns))[0][0] if plan.targets and max_iter else None
+    places, at = {}, 1
+    for c in names:
+        places[c] = list(range(at, at + len(entries[c])))
+        at += len(entries[c])
+    code_at = {t: at + i for i, t in enumerate(codes)}
+
+    def predicted(xs: Sequence[Column], coefficients: Sequence[Column]) -> Column:
+        total = F.lit(0.0) + F.lit(1.0) * coefficients[0]
+        for x, b in zip(xs, coefficients[1:]):
+            total = total + x * b
+        return total
+
+    # a target without a gap has nothing to draw; every draw has a seed of its own, so the others stay as they are
+    some = cur.agg(F.lit(0), *[F.max(F.col(x)) for x in miss.values()]).first()[1:]
+    drawn_for = [t for t, gap in zip(plan.targets, some) if gap]
     for turn in range(1, max_iter + 1):
-        for t in plan.targets:
-            xs = [e for c in names if c != t for e in plan.enter(c)]
+        for t in drawn_for:
+            xs = [e for c in names if c != t for e in entries[c]]
             x = F.array(*xs).alias("x") if xs else F.array().cast("array<double>").alias("x")
             known = ~F.col(miss[t])
-            gram, n = gramian(cur.select("set", x, F.when(known, plan.code(t)).alias("y")), m, len(xs))
+            own = [0, *[i for c in names if c != t for i in places[c]], code_at.get(t, places[t][0] if places[t] else 0)]
+            gram = gramian(cur.select("set", x, F.when(known, plan.code(t)).alias("y")), m, len(xs))[0] + whole_gram[np.ix_(own, own)]
             both = [draw(gram[s], normals(0, seed, s, turn, t)) for s in range(m)]      # m small vectors
-            table = F.array(*[F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in b]) for b in both])
-            row = F.element_at(F.element_at(table, F.col("set") + 1), F.when(known, 1).otherwise(2))
-            yhat = F.aggregate(F.zip_with(F.concat(F.array(F.lit(1.0)), x), row, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+
+            def of_set(values: Sequence[float]) -> Column:
+                return F.element_at(F.array(*[F.lit(float(v)) for v in values]), F.col("set") + 1) if m > 1 else F.lit(float(values[0]))
+
+            fitted, drawn = ([of_set([b[which][j] for b in both]) for j in range(len(xs) + 1)] for which in (0, 1))
+            yhat = predicted(xs, [F.when(known, f).otherwise(d) for f, d in zip(fitted, drawn)])
             scored = cur.select("*", yhat.alias("__yhat"), known.alias("__donor"))
+            lent = whole.select(id_col, t, F.posexplode(F.array(
+                *[predicted(xs, [F.lit(float(v)) for v in b[0]]) for b in both])).alias("set", "__yhat"))
             pick = hashed_pick(id_col, f"{seed}:{t}:{turn}") if m == 1 else F.when(
                 F.col("set") == 0, hashed_pick(id_col, f"{seed}:{t}:{turn}")).otherwise(
                 F.pmod(F.xxhash64(F.col(id_col), F.col("set"), F.lit(f"{seed}:{t}:{turn}")), F.lit(1 << 30)))
-            filled = matched(scored, id_col, [t], k, pick, ["__fill"], set_col="set")
+            filled = matched(scored, id_col, [t], k, pick, ["__fill"], set_col="set", donors=lent)
             cur = filled.withColumn(t, F.coalesce("__fill", F.col(f"`{t}`"))).drop("__fill")
+    cur = cur.select("set", id_col, *names).unionByName(
+        whole.select(F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("set"), id_col, *names))
     return cur.select("set", id_col, *[F.col(f"`{c}`").cast(kinds[c]).alias(c) for c in names])
 
 

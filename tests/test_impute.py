@@ -90,3 +90,41 @@ def test_donors_equal_brute_force(spark, kind):
     if kind == "constant":      # rows of one prediction lie in several tasks
         d = df.withColumn("s", F.xxhash64("id")).repartitionByRange(4, "yhat", "s").groupBy(F.spark_partition_id()).count()
         assert d.count() > 2
+
+
+def nearest_by_hand(asked, donors, k):
+    return {d[1] for d in sorted(donors, key=lambda d: (abs(d[0] - asked), d[1]))[:k]}
+
+
+@pytest.mark.parametrize("spread", [1000, 40, 1])
+def test_lent_donors_are_met_across_stretches(spark, spread):
+    """Rows that only lend their values don't come back; answers are among the
+    k nearest of all donors, also across ends of stretches and equal predictions."""
+    rng = np.random.default_rng(spread)
+    make = lambda first, n: [(s, first + i, float(rng.integers(0, spread))) for s in (0, 1) for i in range(n)]
+    own, lent = make(0, 300), make(1000, 600)
+    rows = spark.createDataFrame([(s, i, y, i % 3 == 0, i if i % 3 == 0 else None, f"r{i}") for s, i, y in own],
+                                 "set int, id long, __yhat double, __donor boolean, v long, other string").repartition(5)
+    more = spark.createDataFrame([(s, i, y, i) for s, i, y in lent], "set int, id long, __yhat double, v long").repartition(5)
+    got = pmm.matched(rows, "id", ["v"], 5, F.col("id"), ["got"], set_col="set", donors=more)
+    got = {(r["set"], r["id"]): r for r in got.collect()}
+    assert len(got) == 600
+    for s, i, y in own:
+        donors = [(b, j) for t, j, b in own if t == s and j % 3 == 0] + [(b, j) for t, j, b in lent if t == s]
+        r = got[s, i]
+        assert r["other"] == f"r{i}" and (r["got"] == i if i % 3 == 0 else r["got"] in nearest_by_hand(y, donors, 5))
+
+
+def test_rows_without_gaps_do_not_travel_whole(spark, table, monkeypatch):
+    """Only rows with a gap are drawn once for each set; the others enter a
+    step as prediction, id and value."""
+    seen, plain = [], I.matched
+
+    def matched(rows, *args, donors=None, **kw):
+        seen.append((rows.count(), sorted(donors.columns), donors.count()))
+        return plain(rows, *args, donors=donors, **kw)
+
+    monkeypatch.setattr(I, "matched", matched)
+    gaps = table.where("c IS NULL OR plan IS NULL").count()
+    assert I.impute_sets(table, "key", ["c", "plan"], ["a", "b"], m=2, max_iter=1).count() == 1200
+    assert seen == [(2 * gaps, sorted(["__yhat", t, "key", "set"]), 2 * (600 - gaps)) for t in ("c", "plan")]
