@@ -204,8 +204,9 @@ def impute_sets(df: DataFrame, id_col: str, targets: Sequence[str], predictors:
             fitted, drawn = ([of_set([b[which][j] for b in both]) for j in range(len(xs) + 1)] for which in (0, 1))
             yhat = predicted(xs, [F.when(known, f).otherwise(d) for f, d in zip(fitted, drawn)])
             scored = cur.select("*", yhat.alias("__yhat"), known.alias("__donor"))
-            lent = whole.select(id_col, t, F.posexplode(F.array(
-                *[predicted(xs, [F.lit(float(v)) for v in b[0]]) for b in both])).alias("set", "__yhat"))
+            lends = [predicted(xs, [F.lit(float(v)) for v in b[0]]) for b in both]
+            lent = whole.select(id_col, t, *([F.lit(0).alias("set"), lends[0].alias("__yhat")] if m == 1 else
+                                             [F.posexplode(F.array(*lends)).alias("set", "__yhat")]))
             pick = hashed_pick(id_col, f"{seed}:{t}:{turn}") if m == 1 else F.when(
                 F.col("set") == 0, hashed_pick(id_col, f"{seed}:{t}:{turn}")).otherwise(
                 F.pmod(F.xxhash64(F.col(id_col), F.col("set"), F.lit(f"{seed}:{t}:{turn}")), F.lit(1 << 30)))

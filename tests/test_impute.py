@@ -128,3 +128,20 @@ def test_rows_without_gaps_do_not_travel_whole(spark, table, monkeypatch):
     gaps = table.where("c IS NULL OR plan IS NULL").count()
     assert I.impute_sets(table, "key", ["c", "plan"], ["a", "b"], m=2, max_iter=1).count() == 1200
     assert seen == [(2 * gaps, sorted(["__yhat", t, "key", "set"]), 2 * (600 - gaps)) for t in ("c", "plan")]
+
+
+def test_one_set_lends_its_rows_without_a_list_per_row(table, monkeypatch):
+    """Where one set is drawn, a row that lends its value is not unfolded from a
+    list of predictions; several sets still are, and lend one row for each."""
+    seen, plain = [], I.matched
+
+    def matched(rows, *args, donors=None, **kw):
+        unfolded = "Generate" in donors._jdf.queryExecution().optimizedPlan().toString()
+        seen.append((unfolded, sorted((r["set"], r["key"]) for r in donors.collect())))
+        return plain(rows, *args, donors=donors, **kw)
+
+    monkeypatch.setattr(I, "matched", matched)
+    for m in (1, 2):
+        I.impute_sets(table, "key", ["c"], ["a", "b"], m=m, max_iter=1)
+    whole = sorted(r["key"] for r in table.where("c IS NOT NULL").collect())
+    assert seen == [(m > 1, [(s, key) for s in range(m) for key in whole]) for m in (1, 2)]
