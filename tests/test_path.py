@@ -138,3 +138,49 @@ def test_newton_reaches_the_minimum_with_collinear_columns():
         slope = g.ravel() + h @ (got - b).ravel()
         far = PA.residual(got[None], slope.reshape(1, 6, 3), np.array([0.3]), np.array([alpha]))
         assert far[0] < 1e-7
+
+
+def test_newton_goes_on_where_free_columns_make_up_for_a_zero():
+    """A zero violates the conditions by less than what the free columns are
+    off together: it must not become free and zero again for ever."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 4))
+    x[:, 3] = x[:, 1] + x[:, 2] + 1e-3 * x[:, 3]
+    h, until, lam = x.T @ x / 300, 1e-3, 0.3
+    b = np.array([[0.0], [1.0], [1.0], [0.0]])
+    g = np.array([[0.0], [-lam + 0.9 * until], [-lam + 0.9 * until], [lam + 1.5 * until]])
+    got = PA.newton(b, g, h, lam, 1.0, until)
+    slope = g.ravel() + h @ (got - b).ravel()
+    assert PA.residual(got[None], slope.reshape(1, 4, 1), np.array([lam]), np.array([1.0]))[0] <= until
+
+
+def test_corrected_hessian_tells_the_last_move():
+    rng = np.random.default_rng(2)
+    a = rng.normal(size=(40, 6))
+    h, true = a.T @ a / 40, a[:20].T @ a[:20] / 20
+    moves = [rng.normal(size=6) for _ in range(3)]
+    got = PA.corrected(h, [(s, true @ s) for s in moves] + [(np.zeros(6), np.zeros(6)), (moves[0], -moves[0])])
+    assert np.allclose(got @ moves[-1], true @ moves[-1])
+    assert np.linalg.eigvalsh(got)[0] > 0
+    assert np.array_equal(PA.corrected(h, []), h)
+
+
+def test_a_pass_is_the_sum_over_the_rows(data):
+    """Loss, hits on the held-out fold (ties go to the first class), gradient and curvature against sums over collected rows."""
+    table, rows, groups = data
+    rng = np.random.default_rng(8)
+    hold = np.array([PA.NO_FOLD, 1, 0, 0])
+    c = rng.normal(size=(4, 6, CLASSES))
+    c[3] = 0.0
+    got = PA.one_pass(rows, [(1, groups[1].weights, hold, c)], 2, 5, CLASSES)[0]
+    every = table.where("outer <> 1").collect()
+    x, y = np.array([[1.0, *r["x"]] for r in every]), np.array([r["y"] for r in every])
+    w, inner = groups[1].weights[y], np.array([r["inner"] for r in every])
+    for m, f in enumerate(hold):
+        z, train = x @ c[m], inner != f
+        q = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+        wt = (w * train)[:, None]
+        assert got[0][m] == pytest.approx(-(wt[:, 0] * np.log(q[np.arange(len(y)), y])).sum())
+        assert got[1][m] == pytest.approx((w * ~train * (z.argmax(axis=1) == y)).sum())
+        assert np.allclose(got[2][m], x.T @ (wt * (q - np.eye(CLASSES)[y])))
+        assert np.allclose(got[3][m], np.diag((wt * q).sum(axis=0)) - (wt * q).T @ q)
