@@ -222,3 +222,16 @@ def test_a_search_in_single_precision_finds_the_same_paths(data):
             assert max(np.abs(b[1:] - c[1:]).max() for b, c in zip(got[g][a].coefficients, exact[g][a].coefficients)) < 1e-3
             assert np.allclose(got[g][a].accuracy, exact[g][a].accuracy, atol=0.01)
     assert sum(worse for _, worse, _ in log) <= 0.02 * sum(n for n, _, _ in log)     # rounding makes no step look uphill
+
+
+def test_a_pass_tries_several_lambdas(data):
+    """More trials than models in a pass; the results are those of an exact search."""
+    _, rows, groups = data
+    log = []
+    seen = PA.search(rows, groups, 5, CLASSES, 40, 0.3, tol=1e-5, log=log)[0]
+    assert max(n for n, _, _ in log) > 2 * len(ALPHAS) * (FOLDS + 1)
+    exact = PA.search(rows, groups, 5, CLASSES, 40, 0.3, tol=1e-7)[0]
+    for a in ALPHAS:
+        assert all(c is not None for c in seen[a].coefficients)
+        assert max(np.abs(b[1:] - c[1:]).max() for b, c in zip(seen[a].coefficients, exact[a].coefficients)) < 1e-3
+        assert np.allclose(seen[a].accuracy, exact[a].accuracy, atol=0.01)
